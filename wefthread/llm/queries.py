@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, urls
+from . import bpe, jaccard, mixing, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_fingerprints": simhash.op5_fingerprints,
+        "op7_bpe": bpe.op7_bpe,
         "op9_url_filter": urls.op9_url_filter,
     }
 
