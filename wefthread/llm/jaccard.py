@@ -9,14 +9,16 @@ its prefix and ask for as many more shared ones before a pair is verified.
 
 1. One pass over the texts: size and 128-bit key of every set, and shingles seen
    often within a stretch of documents. Equal sets are one node from here on.
-2. Postings (shingle, set) of the prefixes, packed into blocks by shingle. A list
-   of two or more sets gives star rows (least set of the list, member). As every
-   pair of similar sets shares a list, it shares a star's group; families of near
-   copies have few stars, however many shingles they share. No pair is formed.
-3. Each group gets its members' sets once. Members similar to the hub are linked
-   to it; only the others are compared with the group: shared prefix shingles
-   first, the whole sets where min(l) are shared. Groups beyond GROUP are compared
-   in blocks, the loose members against all.
+2. Postings (shingle, set) of the prefixes, packed into blocks by shingle. Lists of
+   up to SHORT sets give their pairs, which are counted: a pair goes on if it
+   shares min(l) shingles and what can follow the last shared place allows the
+   similarity. Longer lists form no pair: they give star rows (least set of the
+   list, member). A pair that shares a long list is in that star's group, one that
+   shares only short lists is counted in full; so neither loses a similar pair.
+3. Each group (a star, or the pairs of one set) gets its members' sets once.
+   Members similar to the hub are linked to it; only the others are compared with
+   the group: shared prefix shingles first, the whole sets where min(l) are shared.
+   Groups beyond GROUP are compared in blocks, the loose members against all.
 4. Components of the links by distributed star contraction, joined to all rows.
 """
 
@@ -43,6 +45,8 @@ STRETCH, OFTEN = 2_000_000, 3
 MAX_MATCH, VERIFY = 8, 4.0
 #: Postings that a map task packs at once; postings of a block of shingles on average.
 PACK, BLOCK_POSTINGS = 1_000_000, 500_000
+#: Sets of a list that still gives its pairs.
+SHORT = 12
 #: Members of a group that one task compares.
 GROUP = 2000
 #: Ids that are broadcast to pick sets; beyond, they are joined.
@@ -128,58 +132,124 @@ class Order:
 
 
 def _post(order: Order, blocks: int):
+    """Blocks of postings: shingle, number of the set in the blob, place in the order; then key, size and match of its sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[np.ndarray] = []
-        sets: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def packed() -> pa.RecordBatch:
-            token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            one = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            tokens.clear(), sets.clear()
+            if not held:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["block", "postings"])
+            base = np.cumsum([0] + [len(x[3]) for x in held])
+            token, place = (np.concatenate([x[k] for x in held]) for k in (0, 2))
+            owner = np.concatenate([x[1] + base[i] for i, x in enumerate(held)])
+            key, n, match = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+            held.clear()
             block = (shingles.mix(token, 31) % np.uint64(blocks)).astype(np.int64)
             by = np.argsort(block, kind="stable")
-            pair = np.stack([token[by], one[by]], 1)
             name, at = np.unique(block[by], return_index=True)
-            at = np.append(at, len(pair))
-            return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array([pair[at[i] : at[i + 1]].tobytes() for i in range(len(name))], pa.binary())], ["block", "postings"])
+            blobs = []
+            for own in np.split(by, at[1:]) if len(by) else ():
+                sets, number = np.unique(owner[own], return_inverse=True)
+                head = np.array([len(own), len(sets)], np.int64)
+                blobs.append(b"".join(x.tobytes() for x in (head, token[own], number.astype(np.uint32), place[own].astype(np.uint32), key[sets], n[sets].astype(np.uint32), match[sets].astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(blobs, pa.binary())], ["block", "postings"])
 
         for batch in batches:
             for _, _, values, at in _sets(batch):
                 k1, _ = _keys(values, at)
                 _, fresh = np.unique(k1, return_index=True)
-                values, length, _ = order.prefixes(values, at)
-                take = np.zeros(len(k1), np.int64)
-                take[fresh] = length[fresh]
-                start = np.concatenate([[0], np.cumsum(take)])
-                tokens.append(values[np.arange(start[-1]) + np.repeat(at[:-1] - start[:-1], take)])
-                sets.append(np.repeat(k1, take))
-                if sum(map(len, tokens)) >= PACK:
+                values, length, match = order.prefixes(values, at)
+                take = length[fresh]
+                owner = np.repeat(np.arange(len(fresh)), take)
+                place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                held.append((values[at[:-1][fresh][owner] + place], owner, place, k1[fresh], np.diff(at)[fresh], match[fresh]))
+                size += len(owner)
+                if size >= PACK:
+                    size = 0
                     yield packed()
         yield packed()
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a block's postings, (hub, member) for every list of two sets or more."""
-    held = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for batch in batches for x in batch.column(1)]
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    m, d = np.frombuffer(blob, np.int64, 2)
+    at, out = 16, []
+    for kind, n in ((np.uint64, m), (np.uint32, m), (np.uint32, m), (np.uint64, d), (np.uint32, d), (np.uint32, d)):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
+_PAIR = "a long, b long, c int, pa int, pb int, na int, nb int, least int"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a block's postings: pairs of short lists with the shingles they share here; star rows of long lists, of which c is null."""
+    held = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
     if not held:
         return
-    pair = np.concatenate(held)
+    base = np.cumsum([0] + [len(x[3]) for x in held])
+    token, place = (np.concatenate([x[k] for x in held]) for k in (0, 2))
+    owner = np.concatenate([x[1].astype(np.int64) + base[i] for i, x in enumerate(held)])
+    key, n, match = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
     held.clear()
-    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-    first = np.ones(len(pair), bool)
-    first[1:] = pair[1:, 0] != pair[:-1, 0]
-    again = np.zeros(len(pair), bool)
-    again[1:] = ~first[1:] & (pair[1:, 1] == pair[:-1, 1])
-    pair, first = pair[~again], first[~again]
-    at = np.flatnonzero(first)
-    n = np.diff(np.append(at, len(pair)))
-    hub = np.repeat(pair[at, 1], n)
-    many = np.repeat(n > 1, n)
-    star = np.unique(np.stack([hub[many], pair[many, 1]], 1), axis=0).view(np.int64)
-    for i in range(0, len(star), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(star[i : i + 50_000, 0]), pa.array(star[i : i + 50_000, 1])], ["hub", "member"])
+    # sets get numbers in the order of their keys, so that copies from several tasks are one
+    keys, first_of, number = np.unique(key, return_index=True, return_inverse=True)
+    n, match, owner = n[first_of].astype(np.int64), match[first_of].astype(np.int64), number[owner]
+    by = np.lexsort((owner, token))
+    token, owner, place = token[by], owner[by], place[by].astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    again = np.zeros(len(token), bool)
+    again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+    new, owner, place = new[~again], owner[~again], place[~again]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(owner)))
+    left, right = [], []
+    for k in range(2, SHORT + 1):
+        lists = at[size == k]
+        if len(lists):
+            i, j = np.triu_indices(k, 1)
+            left.append((lists[:, None] + i).ravel())
+            right.append((lists[:, None] + j).ravel())
+    if left:
+        left, right = np.concatenate(left), np.concatenate(right)
+        a, b = owner[left], owner[right]
+        pa_, pb = place[left], place[right]
+        most = np.minimum(pa_, pb) + 1 + np.minimum(n[a] - pa_, n[b] - pb) - 1
+        can = ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b])) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+        a, b, pa_, pb = a[can], b[can], pa_[can], pb[can]
+        by = np.lexsort((b, a))
+        a, b, pa_, pb = a[by], b[by], pa_[by], pb[by]
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
+        if len(start):
+            c = np.diff(np.append(start, len(a)))
+            pa_, pb = np.maximum.reduceat(pa_, start), np.maximum.reduceat(pb, start)
+            a, b = a[start], b[start]
+            columns = [keys[a].view(np.int64), keys[b].view(np.int64), *(x.astype(np.int32) for x in (c, pa_, pb, n[a], n[b], np.minimum(match[a], match[b])))]
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], ["a", "b", "c", "pa", "pb", "na", "nb", "least"])
+    long = np.repeat(size > SHORT, size)
+    if long.any():
+        which = np.repeat(np.arange(len(size)), size)[long]
+        member = owner[long]
+        # sizes too far apart can't be similar: a list falls apart where the next size is out of reach
+        by = np.lexsort((n[member], which))
+        which, member = which[by], member[by]
+        split = np.ones(len(member), bool)
+        split[1:] = (which[1:] != which[:-1]) | (DENOMINATOR * n[member[:-1]] < NUMERATOR * n[member[1:]])
+        part = np.cumsum(split) - 1
+        start = np.flatnonzero(split)
+        hub = np.minimum.reduceat(member, start)[part]
+        alone = np.diff(np.append(start, len(member)))[part] == 1
+        star = np.unique(np.stack([hub[~alone], member[~alone]], 1), axis=0)
+        for k in range(0, len(star), 50_000):
+            x = star[k : k + 50_000]
+            nothing = pa.nulls(len(x), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[x[:, 0]].view(np.int64)), pa.array(keys[x[:, 1]].view(np.int64))] + [nothing] * 6, ["a", "b", "c", "pa", "pb", "na", "nb", "least"])
 
 
 def _ordered(order: Order, ids: np.ndarray | None):
@@ -323,7 +393,12 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = max(parts, int(postings // BLOCK_POSTINGS) + 1)
 
     posted = docs.mapInArrow(_post(order, blocks), "block long, postings binary").repartition(blocks, "block")
-    stars = cut(posted.mapInArrow(_stars, "hub long, member long").distinct())
+    met = posted.mapInArrow(_pairs, _PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("least").alias("least"), F.max(F.col("c").isNull()).alias("star"))
+    reach = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    goes_on = (F.col("c") >= F.col("least")) & ((NUMERATOR + DENOMINATOR) * reach >= NUMERATOR * (F.col("na") + F.col("nb")))
+    met = met.where(F.col("star") | goes_on)
+    stars = met.select("a", F.explode(F.array("a", "b")).alias("b")).distinct().toDF("hub", "member")
+    stars = cut(stars)
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"))
     members = cut(stars.join(nodes, stars["member"] == nodes["k1"]).select("hub", "doc", (F.col("hub") == F.col("member")).alias("is_hub")))
 
