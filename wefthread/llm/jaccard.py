@@ -38,15 +38,15 @@ WORDS = 5
 #: Similarity as a ratio of integers.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Common shingles that the order knows, at most: 16 bytes each are broadcast.
-MAX_COMMON = 200_000
+MAX_COMMON = 1_000_000
 #: Shingles of documents that are counted together, and the count there from which one is reported.
-STRETCH, OFTEN = 2_000_000, 3
+STRETCH, OFTEN = 2_000_000, 2
 #: Prefixes are lengthened by at most MAX_MATCH - 1; cost of a verification, in postings.
 MAX_MATCH, VERIFY = 8, 4.0
 #: Postings that a map task packs at once; postings of a block of shingles on average.
 PACK, BLOCK_POSTINGS = 1_000_000, 500_000
 #: Sets of a list that still gives its pairs.
-SHORT = 12
+SHORT = 24
 #: Members of a group that one task compares.
 GROUP = 2000
 #: Ids that are broadcast to pick sets; beyond, they are joined.
@@ -385,8 +385,8 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = "doc_id long, n long, k1 long, k2 long, shingle long, seen long"
     described = cut(docs.mapInArrow(_describe, long))
     rows = described.where("k1 is not null").select("doc_id", "n", "k1", "k2")
-    common = described.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(MAX_COMMON).toPandas()
-    order = Order(common["shingle"].to_numpy(np.int64).view(np.uint64), common["seen"].to_numpy(np.int64))
+    common = described.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(MAX_COMMON).toArrow()
+    order = Order(common["shingle"].to_numpy().view(np.uint64), common["seen"].to_numpy())
     del common
     postings = rows.agg(F.sum(F.col("n") * (DENOMINATOR - NUMERATOR) / DENOMINATOR + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
