@@ -49,7 +49,9 @@ PACK, BLOCK_POSTINGS = 1_000_000, 500_000
 SHORT = 24
 #: Members of a group that one task compares.
 GROUP = 2000
-#: Ids that are broadcast to pick sets; beyond, they are joined.
+#: Bytes of a shingle's hash in the sets that are sent: within one group, 48 bits tell shingles apart.
+HASH_BYTES = 6
+#: Rows of ids and groups that are broadcast to pick sets; beyond, they are joined.
 MAX_IDS = 2_000_000
 
 
@@ -261,7 +263,8 @@ def _ordered(order: Order, ids: np.ndarray | None):
                 batch = batch.filter(pa.array(ids[at] == own))
             for i, j, values, at in _sets(batch):
                 values, length, match = order.prefixes(values, at)
-                blobs = pa.array([values[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())
+                narrow = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+                blobs = pa.array([narrow[HASH_BYTES * at[k] : HASH_BYTES * at[k + 1]] for k in range(j - i)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(length.astype(np.int32)), pa.array(match.astype(np.int32)), blobs], ["doc", "prefix", "match", "tokens"])
 
     return run
@@ -273,9 +276,11 @@ class _Group:
     def __init__(self, rows: list[tuple[int, int, int, bytes]]):
         self.doc = np.array([r[0] for r in rows])
         self.prefix, self.match = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        each = [np.frombuffer(r[3], np.uint64) for r in rows]
-        self.n = np.array([len(x) for x in each])
-        vocabulary, ids = np.unique(np.concatenate(each), return_inverse=True)
+        self.n = np.array([len(r[3]) // HASH_BYTES for r in rows])
+        tokens = np.zeros((self.n.sum(), 8), np.uint8)
+        tokens[:, :HASH_BYTES] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HASH_BYTES)
+        vocabulary, ids = np.unique(tokens.view("<u8").ravel(), return_inverse=True)
+        del tokens
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.ids = ids.astype(np.int32)
         start = np.concatenate([[0], np.cumsum(self.prefix)])
@@ -418,11 +423,12 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = dealt.select("hub", "doc", "is_hub", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))).alias("i"))
 
     def solve(where: DataFrame, star: bool) -> DataFrame:
-        with_sets = where.join(sets, "doc").select("hub", "i", "j", "is_hub", "loose", "doc", "prefix", "match", "tokens")
+        side = F.broadcast(where) if where.count() <= MAX_IDS else where
+        with_sets = sets.join(side, "doc").select("hub", "i", "j", "is_hub", "loose", "doc", "prefix", "match", "tokens")
         sorted_ = with_sets.repartition(max(parts, 1), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc")
         return cut(sorted_.mapInArrow(_by_group(star), "hub long, a long, b long"))
 
-    found = solve(placed.withColumn("j", F.lit(0)).withColumn("loose", F.lit(False)), True)
+    found = solve(cut(placed.withColumn("j", F.lit(0)).withColumn("loose", F.lit(False))), True)
     links = found.where("b is not null").select("a", "b")
     # loose members of groups of several parts meet the whole group
     large = counted.where(F.col("size") > GROUP)
@@ -432,7 +438,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = loose.join(wide, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("loose"))
         right = dealt.join(wide, "hub").select("hub", "doc", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("loose"))
         both = left.union(right).select("hub", "doc", "i", "j", "loose", F.lit(False).alias("is_hub"))
-        links = links.union(solve(both, False).where("b is not null").select("a", "b"))
+        links = links.union(solve(cut(both), False).where("b is not null").select("a", "b"))
     return rows, links
 
 
