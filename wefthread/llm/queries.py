@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, simhash, urls
+from . import bpe, jaccard, knn, mixing, passages, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_voronoi_knn": knn.op1_voronoi_knn,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
+        "op3_substring_dedup": passages.op3_substring_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_fingerprints": simhash.op5_fingerprints,
         "op7_bpe": bpe.op7_bpe,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": urls.ORACLE_SQL}
+    return {"op1_voronoi_knn": knn.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL}
