@@ -131,3 +131,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def take(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, those without words once.
+
+    Rows of one doc_id, source and text are interchangeable: together they are there
+    as often as the mix takes them together.
+    """
+    names = docs.columns
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64("source").alias("__s"), word_count(F.col("text")).alias("__z")]
+    decided = mix(docs, weights, ceiling).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64("source").alias("__s"), F.col("size").alias("__z"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies"))
+    # one row a key with its copies in order, so that repeated rows each get one of them
+    times = decided.groupBy("__id", "__s", "__z").agg(F.sort_array(F.collect_list("__copies")).alias("__all"))
+    rows = docs.select(*names, *key).join(times, ["__id", "__s", "__z"])
+    twice = rows.where(F.size("__all") > 1)
+    same = Window.partitionBy("__id", "__s", "__z").orderBy("text")
+    numbered = twice.withColumn("__k", F.row_number().over(same) - 1).withColumn("__n", F.get("__all", F.col("__k"))).drop("__k")
+    single = rows.where(F.size("__all") == 1).withColumn("__n", F.get("__all", F.lit(0)))
+    both = single.unionByName(numbered).where("__n > 0")
+    return both.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, knn, mixing, passages, simhash, urls
+from . import bpe, jaccard, knn, mixing, passages, pii, quality, secret_scan, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": passages.op3_substring_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_fingerprints": simhash.op5_fingerprints,
+        "op6_quality": quality.op6_quality,
         "op7_bpe": bpe.op7_bpe,
+        "op8_pii": pii.op8_pii,
         "op9_url_filter": urls.op9_url_filter,
+        "op10_secrets": secret_scan.op10_secrets,
     }
 
 
