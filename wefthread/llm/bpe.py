@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import need
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Encodings of pieces that a Python worker keeps; a full table starts again.
-CACHE_PIECES = 200_000
+#: Encodings of pieces that a Python worker keeps, twice: a full table becomes the old one, from which pieces in use return.
+CACHE_PIECES = 300_000
 #: Longer texts are split into pieces step by step.
 LONG_TEXT = 1 << 20
 
@@ -42,6 +43,10 @@ class Vocabulary:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        top = max(self.bytes_of) + 1
+        self._size = np.array([len(self.bytes_of.get(i, b"")) for i in range(top)])
+        self._start = np.cumsum(self._size) - self._size
+        self._table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -76,11 +81,19 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], until: int) -> None:
         """Grow ``last``, where last[i] ends the prefix of length i, to the prefix of length ``until``."""
-        ranks, longest = self.ranks, self.longest
+        rank, longest, known = self.ranks.get, self.longest, self._pairs.get
         for i in range(len(last), until + 1):
-            for j in range(max(0, i - longest), i):
-                t = ranks.get(data[j:i])
-                if t is not None and (self.may_follow(last[j], t) if j else self.may_start(t)):
+            for j in range(i - longest if i > longest else 0, i):
+                t = rank(data[j:i])
+                if t is None:
+                    continue
+                if j:
+                    ok = known(last[j] << 32 | t)
+                    if ok is None:
+                        ok = self.may_follow(last[j], t)
+                else:
+                    ok = self.may_start(t)
+                if ok:
                     last.append(t)
                     break
             else:
@@ -102,7 +115,13 @@ class Vocabulary:
         return self.back(last)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of the tokens, gathered from one table of all tokens' bytes."""
+        ids = np.asarray(ids, np.int64)
+        n = self._size[ids]
+        ends = np.cumsum(n)
+        if not len(ids):
+            return b""
+        return self._table[np.repeat(self._start[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
 class PrefixEncoding:
@@ -142,23 +161,31 @@ class TextEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        found = np.array(self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        found = self.old.get(piece)
+        if found is None:
+            ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 64:
             self.known[piece] = found
         return found
 
+    def _turn(self) -> None:
+        if len(self.known) >= CACHE_PIECES:
+            self.old, self.known = self.known, {}
+
     def encode(self, text: str) -> bytes:
+        self._turn()
         get, ids = self.known.get, self._ids
         if len(text) <= LONG_TEXT:
             return b"".join([get(p) or ids(p) for p in self.pattern.findall(text)])
         out = bytearray()
         for m in self.pattern.finditer(text):
             p = m.group()
-            out += get(p) or ids(p)
+            out += self.known.get(p) or ids(p)
+            self._turn()
         return bytes(out)
 
 
@@ -206,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 h = hashlib.sha256()
                 each = np.frombuffer(ids, "<u4")
                 for i in range(0, len(each), 1 << 16):
-                    h.update(enc.vocabulary.decode(each[i : i + (1 << 16)].tolist()))
+                    h.update(enc.vocabulary.decode(each[i : i + (1 << 16)]))
                 b.append(h.hexdigest())
                 if keep_ids:
                     kept.append(ids)
