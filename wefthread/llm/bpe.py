@@ -29,6 +29,8 @@ from .common import need
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encodings of pieces that a Python worker keeps, twice: a full table becomes the old one, from which pieces in use return.
 CACHE_PIECES = 300_000
+#: Prefixes of up to SHARED bytes whose last tokens a worker keeps.
+SHARED, SHARED_PREFIXES = 24, 600_000
 #: Longer texts are split into pieces step by step.
 LONG_TEXT = 1 << 20
 
@@ -49,18 +51,31 @@ class Vocabulary:
         self._table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
+        #: Of the tokens that end in given three bytes, the longest one's length.
+        self._tails: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2:
+                self._tails[token[-3:]] = max(len(token), self._tails.get(token[-3:], 2))
+        self._prefixes: dict[bytes, int] = {}
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for bytes {missing[:5]}")
 
     def merge(self, data: bytes) -> list[bytes]:
         """The definition, for short strings: merge the lowest rank until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 62))
-            if parts[best] + parts[best + 1] not in self.ranks:
+        parts, rank, never = [data[i : i + 1] for i in range(len(data))], self.ranks.get, 1 << 62
+        ranks = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], never)
         return parts
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -81,9 +96,10 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], until: int) -> None:
         """Grow ``last``, where last[i] ends the prefix of length i, to the prefix of length ``until``."""
-        rank, longest, known = self.ranks.get, self.longest, self._pairs.get
+        rank, tail, known = self.ranks.get, self._tails.get, self._pairs.get
         for i in range(len(last), until + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            most = tail(data[i - 3 : i], 2) if i > 2 else i
+            for j in range(i - most if i > most else 0, i):
                 t = rank(data[j:i])
                 if t is None:
                     continue
@@ -110,8 +126,20 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        last = [-1]
+        last, known = [-1], self._prefixes
+        n = min(len(piece), SHARED)
+        for i in range(1, n + 1):  # the prefix's last token, from an earlier piece that began alike
+            t = known.get(piece[:i])
+            if t is None:
+                break
+            last.append(t)
+        else:
+            i = n + 1
         self.extend(piece, last, len(piece))
+        if len(known) > SHARED_PREFIXES:
+            known.clear()
+        for i in range(i, n + 1):
+            known[piece[:i]] = last[i]
         return self.back(last)
 
     def decode(self, ids) -> bytes:
