@@ -28,9 +28,11 @@ from .common import need
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encodings of pieces that a Python worker keeps, twice: a full table becomes the old one, from which pieces in use return.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Prefixes of up to SHARED bytes whose last tokens a worker keeps.
-SHARED, SHARED_PREFIXES = 24, 600_000
+SHARED, SHARED_PREFIXES = 24, 300_000
+#: Rows that are encoded before they are handed on.
+PART_ROWS = 512
 #: Longer texts are split into pieces step by step.
 LONG_TEXT = 1 << 20
 
@@ -250,9 +252,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = path or default_path(), pattern or default_pattern()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # few rows at a time: ids take more room than their texts
+            for i in range(0, batch.num_rows, PART_ROWS):
+                yield batch.slice(i, PART_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             n, a, b, kept = [], [], [], []
             for text in batch.column(1):
                 ids = enc.encode(text.as_py() or "")

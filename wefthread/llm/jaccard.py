@@ -40,11 +40,11 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Common shingles that the order knows, at most: 16 bytes each are broadcast.
 MAX_COMMON = 1_000_000
 #: Shingles of documents that are counted together, and the count there from which one is reported.
-STRETCH, OFTEN = 2_000_000, 2
+STRETCH, OFTEN = 1_500_000, 2
 #: Prefixes are lengthened by at most MAX_MATCH - 1; cost of a verification, in postings.
 MAX_MATCH, VERIFY = 8, 4.0
 #: Postings that a map task packs at once; postings of a block of shingles on average.
-PACK, BLOCK_POSTINGS = 1_000_000, 500_000
+PACK, BLOCK_POSTINGS = 500_000, 400_000
 #: Sets of a list that still gives its pairs.
 SHORT = 24
 #: Members of a group that one task compares.
