@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wefthread.functions.text import capitalised, is_test_uid, name_words
+from wefthread.operators.traverse import cut
 
 PASSES = 20
 # What names say about a symbol.
@@ -149,3 +150,32 @@ def dedup_traces(traces: DataFrame) -> DataFrame:
     rest = traces.join(inside, "trace_id", "left_anti")
     order = W.partitionBy(F.element_at("path", 1), F.element_at("path", -1)).orderBy(F.desc(F.size("path")), "trace_id")
     return rest.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def trace_paths_bounded(edges: DataFrame, entries: DataFrame, depth: int = 10, branching: int = 4, pops: int = 10_000) -> DataFrame:
+    """(entry, path, place): as ``trace_paths``, but an entry's walk ends after ``pops`` paths, nearest first.
+
+    A path's number is its place in its level plus all earlier levels; equal paths
+    count once. Levels are cut from their lineage, and the walk stops at an empty one.
+    """
+    nbr = edges.groupBy(F.col("source").alias("node"), F.col("target").alias("next")).agg(F.min("ord").alias("ord"))
+    front = entries.select("entry", F.array("entry").alias("path"), F.col("entry").alias("node"), F.lit(1).cast("long").alias("place"))
+    ended = []
+    for d in range(depth + 1):
+        front = cut(front)
+        if not front.limit(1).count():
+            break
+        if d == depth:
+            ended.append(front.select("entry", "path", "place"))
+            break
+        size = front.groupBy("entry").agg(F.max("place").alias("__last"))
+        grown = front.join(nbr, "node").where(~F.array_contains("path", F.col("next")))
+        first = grown.withColumn("r", F.row_number().over(W.partitionBy("entry", "path").orderBy("ord"))).where(F.col("r") <= branching)
+        ended.append(front.join(first.select("entry", "place").distinct(), ["entry", "place"], "left_anti").select("entry", "path", "place"))
+        order = W.partitionBy("entry").orderBy("place", "r")
+        place = F.row_number().over(order) + F.col("__last")
+        front = first.select("entry", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("node"), "place", "r").join(size, "entry").withColumn("place", place).where(F.col("place") <= pops).select("entry", "path", "node", "place")
+    out = ended[0] if ended else front.select("entry", "path", "place")
+    for x in ended[1:]:
+        out = out.union(x)
+    return out

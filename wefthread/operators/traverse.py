@@ -23,7 +23,7 @@ def neighbours(edges: DataFrame, direction: str, min_confidence: float = 0.0, ki
     return e.select(F.col(a).alias("id"), F.col(b).alias("next"), "confidence", "kind")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/wefthread")
@@ -48,7 +48,7 @@ def impact(edges: DataFrame, starts: DataFrame, direction: str = "upstream", dep
         order = W.partitionBy("origin_id").orderBy("b.place", "id")
         level = best.select("origin_id", "id", F.lit(d).alias("depth"), (-F.col("b.c")).alias("confidence"), F.col("b.kind").alias("kind"), F.row_number().over(order).cast("long").alias("place"))
         if d > LAZY:
-            level = _cut(level)
+            level = cut(level)
             if not level.limit(1).count():
                 break
         levels.append(level.drop("place"))
@@ -91,7 +91,7 @@ def subgraph(edges: DataFrame, start_id: int, direction: str = "outgoing", depth
         for d in range(1, depth + 1):
             front = front.join(step, "id").select(F.col("next").alias("id")).distinct().join(out, "id", "left_anti").select("id", F.lit(d).alias("depth"))
             if d > LAZY:
-                front = _cut(front)
+                front = cut(front)
                 if not front.limit(1).count():
                     break
             out = out.union(front)
