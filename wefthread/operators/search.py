@@ -44,6 +44,11 @@ class QueryError(ValueError):
 _LEX = re.compile(r'\s*(?:(?P<quote>"(?:[^"]|"")*")|(?P<word>[^\s"():*^+{}\[\]\\/.,;!?\'<>=|&$#@%~`-]+)|(?P<sign>[()*:]))')
 
 
+def tokens_of(text: str) -> list[str]:
+    """The driver's form of ``tokens``."""
+    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(MARKED, PLAIN)))
+
+
 def parse(query: str, columns: list[str]):
     """Barewords side by side must all match; AND, OR, NOT, "phrases", pre*, column:term and parentheses."""
     items, at = [], 0
@@ -106,7 +111,7 @@ def parse(query: str, columns: list[str]):
             raise QueryError("syntax error")
         pos += 1
         raw = text[1:-1].replace('""', '"') if kind == "quote" else text
-        words = tuple(re.findall(r"[^\W_]+", raw.lower().translate(str.maketrans(MARKED, PLAIN))))
+        words = tuple(tokens_of(raw))
         if not words:
             raise QueryError("a term without letters or digits")
         prefix = peek() == ("sign", "*")

@@ -40,6 +40,10 @@ class Metrics:
         self.seconds[name] = round(now - began, 3)
         return now
 
+    def report(self) -> dict:
+        self.peak_rss_kb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        return asdict(self)
+
 
 def edge_candidates(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """Every edge that the records give, in the order that decides between equal ones.
@@ -66,8 +70,8 @@ def edge_candidates(parsed: DataFrame, files: DataFrame) -> DataFrame:
     last = F.lit("\U0010ffff")  # after all paths
     out.append(shape(resolve.implicit_implements(symbols), 4, F.lit("IMPLEMENTS"), path=last, ord_=F.lit(0), confidence=F.lit(0.85), reason="go-implicit-implements"))
     tails = resolve.contains_edges(files.select("path")).join(files.select(F.col("path").alias("child"), F.lit(True).alias("is_file")), "child", "left")
-    held = tails.select(F.concat(F.lit("Folder:"), "parent").alias("source_uid"), F.concat(F.when(F.col("is_file"), "File:").otherwise("Folder:"), "child").alias("target_uid"))
-    out.append(shape(held, 5, F.lit("CONTAINS"), path=last, ord_=F.lit(0), reason="folder-contains"))
+    held = tails.select(F.concat(F.lit("Folder:"), "parent").alias("source_uid"), F.concat(F.when(F.col("is_file"), "File:").otherwise("Folder:"), "child").alias("target_uid"), F.when(F.col("is_file"), "directory-contains-file").otherwise("directory-contains-directory").alias("reason"))
+    out.append(shape(held, 5, F.lit("CONTAINS"), path=last, ord_=F.lit(0)))
     every = out[0]
     for x in out[1:]:
         every = every.union(x)
@@ -83,7 +87,7 @@ def symbol_rows(parsed: DataFrame, files: DataFrame, candidates: DataFrame) -> D
     s = tree.records(parsed, "symbols").join(files.select(F.col("path").alias("file_path"), "content_hash"), "file_path")
     own = s.select("uid", "name", "kind", "file_path", "start_line", "end_line", "is_exported", "parent_name", "content_hash", F.lit(0).alias("stage"), "ord")
     base = F.element_at(F.split("path", "/"), -1)
-    node = lambda df, kind, digest: df.select(F.concat(F.lit(f"{kind}:"), "path").alias("uid"), base.alias("name"), F.lit(kind).alias("kind"), F.col("path").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit(True).alias("is_exported"), F.lit(None).cast("string").alias("parent_name"), digest.alias("content_hash"), F.lit(1).alias("stage"), F.lit(0).alias("ord"))
+    node = lambda df, kind, digest: df.select(F.concat(F.lit(f"{kind}:"), "path").alias("uid"), (F.col("path") if kind == "File" else base).alias("name"), F.lit(kind).alias("kind"), F.col("path").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit(False).alias("is_exported"), F.lit(None).cast("string").alias("parent_name"), digest.alias("content_hash"), F.lit(1).alias("stage"), F.lit(0).alias("ord"))
     folders = files.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
     outside = candidates.where(F.col("target_uid").startswith("External:")).select(F.col("target_uid").alias("uid")).distinct()
     name = F.regexp_extract("uid", r"(?s)^External:<external>:(.*):0$", 1)
@@ -162,7 +166,7 @@ def ingest(spark: SparkSession, root: str | DataFrame, folder: str, force: bool
         m.changed, m.stale = store.changed_files(described, index).count(), store.stale_files(described, index).count()
         if not force and m.changed == 0 and m.stale == 0 and m.files:
             m.up_to_date = True
-            return asdict(m)
+            return m.report()
         parsed = kept(tree.extract(files), "parsed")
         m.parse_errors = parsed.where("parse_error is not null").count()
         began = m.timed("parse", began)
@@ -189,8 +193,7 @@ def ingest(spark: SparkSession, root: str | DataFrame, folder: str, force: bool
         for name in ("symbols", "relationships", "communities", "processes"):
             setattr(m, name, s.read(name).count())
         m.timed("count", began)
-        return asdict(m)
+        return m.report()
     finally:
-        m.peak_rss_kb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
         fs, where = s._hadoop(work)
         fs.delete(where, True)

@@ -21,7 +21,7 @@ _WORDS = re.compile(r"%[wWiIqQ]?([\[({<|])")
 _REGEX = re.compile(r"/(?:\\.|[^/\\\n])+/[a-z]*")
 _BLOCKS = {"class", "module", "def", "begin", "case", "do", "if", "unless", "while", "until", "for"}
 #: After these an ``if`` or ``while`` opens a block; after a value it is a modifier.
-_OPENS_AFTER = {"=", "(", "[", "{", ",", "||", "&&", "=>", "->", "return", "then", "else", "do", "||=", "+", "<<", "!", "not", "and", "or", "|", "?", ":"}
+_OPENS_AFTER = {"=", "(", "[", "{", ",", "||", "&&", "=>", "->", "then", "else", "do", "||=", "+", "<<", "!", "not", "and", "or", "|", "?", ":"}
 
 
 class Ruby(Reader):

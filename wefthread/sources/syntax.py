@@ -50,11 +50,21 @@ GOES_ON = {"+", "-", "*", "/", "%", "&&", "||", "??", "?", ":", "=", ".", "?.",
 LEADS_ON = {".", "?.", "&.", "&&", "||", "??", "?", ":", "+", "*", "/", "%", "==", "===", "!=", "!==", "|", "=", "=>"}
 
 
+class Tokens(list):
+    """Tokens of a text; a place past its end is an empty token, so that cut-off text needs no checks."""
+
+    def __getitem__(self, i):
+        if isinstance(i, int) and i >= len(self):
+            end = super().__getitem__(-1).end if self else 0
+            return Token("op", "", end, end)
+        return super().__getitem__(i)
+
+
 class Stream:
     """Tokens with the partner of every bracket and the innermost bracket around every token."""
 
     def __init__(self, text: str, tokens: list[Token]):
-        self.text, self.t = text, tokens
+        self.text, self.t = text, Tokens(tokens)
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.pair: dict[int, int] = {}
         self.around: list[int] = []
