@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wefthread.functions.text import MARKED, PLAIN
 from wefthread.operators import evaluate, graph, resolve, search, traverse
 from wefthread.plans import driver_views as v
+from wefthread.plans import resolution
 from wefthread.sources import store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,12 +265,12 @@ def edge_dedup_first_wins(spark, sf):
     return resolve.first_wins(rows, ["source_id", "target_id"], ["ord"])
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS t, l_partkey % 20 AS m FROM lineitem), i AS (SELECT DISTINCT concat(l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)) AS i, l_partkey % 20 AS m FROM lineitem WHERE l_quantity <= 2 AND l_orderkey % 3 = 0), s AS (SELECT i, count(*) AS n FROM i GROUP BY 1) SELECT t AS type_name, x.i AS interface FROM (SELECT t, i, count(*) AS have FROM m JOIN i USING (m) GROUP BY 1, 2) x JOIN s ON s.i = x.i WHERE have = n")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS t, l_partkey % 20 AS m FROM lineitem), i AS (SELECT DISTINCT concat(l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)) AS i, l_partkey % 20 AS m FROM lineitem WHERE l_quantity <= 2), s AS (SELECT i, count(*) AS n FROM i GROUP BY 1) SELECT t AS type_name, x.i AS interface FROM (SELECT t, i, count(*) AS have FROM m JOIN i USING (m) GROUP BY 1, 2) x JOIN s ON s.i = x.i WHERE have = n")
 def structural_implements(spark, sf):
     li = v.table(spark, sf, "lineitem")
     arity = F.lit(None).cast("int").alias("arity")
     types = li.select(F.col("l_suppkey").alias("type_name"), (F.col("l_partkey") % 20).alias("method"), arity)
-    wanted = li.where("l_quantity <= 2 and l_orderkey % 3 = 0").select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("interface"), (F.col("l_partkey") % 20).alias("method"), arity)
+    wanted = li.where("l_quantity <= 2").select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("interface"), (F.col("l_partkey") % 20).alias("method"), arity)
     return resolve.structural_implements(types, wanted)
 
 
@@ -372,8 +373,8 @@ def graph_sql_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | resolution.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | resolution.SQL
