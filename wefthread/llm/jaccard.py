@@ -18,7 +18,7 @@ its prefix and ask for as many more shared ones before a pair is verified.
 3. Each group (a star, or the pairs of one set) gets its members' sets once.
    Members similar to the hub are linked to it; only the others are compared with
    the group: shared prefix shingles first, the whole sets where min(l) are shared.
-   Groups beyond GROUP are compared in blocks, the loose members against all.
+   Groups beyond GROUP or GROUP_SHINGLES are compared in blocks, the loose members against all.
 4. Components of the links by distributed star contraction, joined to all rows.
 """
 
@@ -47,8 +47,8 @@ MAX_MATCH, VERIFY = 8, 4.0
 PACK, BLOCK_POSTINGS = 500_000, 400_000
 #: Sets of a list that still gives its pairs.
 SHORT = 24
-#: Members of a group that one task compares.
-GROUP = 2000
+#: Members of a group that one task compares, and their shingles: long texts fill a task before many members do.
+GROUP, GROUP_SHINGLES = 2000, 3_000_000
 #: Bytes of a shingle's hash in the sets that are sent: within one group, 48 bits tell shingles apart.
 HASH_BYTES = 6
 #: Rows of ids and groups that are broadcast to pick sets; beyond, they are joined.
@@ -405,7 +405,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = met.select("a", F.explode(F.array("a", "b")).alias("b")).distinct().toDF("hub", "member")
     stars = cut(stars)
     nodes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"))
-    members = cut(stars.join(nodes, stars["member"] == nodes["k1"]).select("hub", "doc", (F.col("hub") == F.col("member")).alias("is_hub")))
+    members = cut(stars.join(nodes, stars["member"] == nodes["k1"]).select("hub", "doc", (F.col("hub") == F.col("member")).alias("is_hub"), "n"))
 
     chosen = members.select("doc").distinct()
     if chosen.count() <= MAX_IDS:
@@ -416,8 +416,9 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if sets is None:
         return rows, spark.createDataFrame([], "a long, b long")
 
-    counted = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    dealt = members.join(counted, "hub").withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int"))
+    blocks_of = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
+    counted = members.groupBy("hub").agg(blocks_of.alias("parts"))
+    dealt = members.join(counted, "hub")
     mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     # the hub goes to every part of its group
     placed = dealt.select("hub", "doc", "is_hub", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))).alias("i"))
@@ -431,10 +432,11 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = solve(cut(placed.withColumn("j", F.lit(0)).withColumn("loose", F.lit(False))), True)
     links = found.where("b is not null").select("a", "b")
     # loose members of groups of several parts meet the whole group
-    large = counted.where(F.col("size") > GROUP)
-    loose = found.where("b is null").join(large, "hub").select("hub", F.col("a").alias("doc"), F.ceil(F.col("size") / GROUP).cast("int").alias("parts")).distinct()
+    large = counted.where("parts > 1")
+    size = members.select("hub", F.col("doc").alias("a"), "n")
+    loose = found.where("b is null").select("hub", "a").distinct().join(large, "hub").join(size, ["hub", "a"]).select("hub", F.col("a").alias("doc"), "n", "parts")
     if loose.limit(1).count():
-        wide = loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("rows"))
+        wide = loose.groupBy("hub").agg(blocks_of.alias("rows"))
         left = loose.join(wide, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("loose"))
         right = dealt.join(wide, "hub").select("hub", "doc", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("loose"))
         both = left.union(right).select("hub", "doc", "i", "j", "loose", F.lit(False).alias("is_hub"))
