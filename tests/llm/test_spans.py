@@ -146,3 +146,13 @@ def test_redact(spark):
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert got[1].text == "x [SECRET]\" y" and got[1].n_chars == len(got[1].text)
     assert (got[2].text, got[3].text) == ("clean", None)
+
+
+def test_contact_lists_are_read_to_the_end():
+    for count in (4, 5, 9, 30):
+        names = [f"ann{'abcdefghij'[i % 10]}{'klm'[i // 10]}" for i in range(count)]
+        text = "please write to " + " or to ".join(f"{n} at firm dot com" for n in names) + " as ever"
+        got = {text[s:e] for s, e, k in pii.model_spans(text, pii.model()) if k == "email"}
+        assert got == {f"{n} at firm dot com" for n in names}
+    text = "mail " + " ".join(f"u{i}@firm.org" for i in range(6)) + " or ann at firm dot com today"
+    assert "ann at firm dot com" in {text[s:e] for s, e, _ in pii.model_spans(text, pii.model())}

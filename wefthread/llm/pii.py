@@ -3,9 +3,8 @@
 The patterns (``base_spans``) always stand. The model reads the surroundings of
 words that may belong to an entity and scores whole segments of up to LENGTH
 words by features of the segment as one: digits, groups, separators, checksum,
-words before. A Viterbi search over segment ends, types and the number of
-entities so far (at most ENTITIES in a window) picks boundaries and types
-together. It finds what patterns can't: spelled-out addresses, numbers in groups.
+words before. A Viterbi search over segment ends and types picks boundaries and
+types together. It finds what patterns can't: spelled-out addresses, numbers in groups.
 
 There are no labelled entities in the tables; the model is fitted by conditional
 likelihood on generated windows with known spans (``examples``), once in a driver.
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import need
 
 KINDS = ("email", "ip", "card", "phone")
-LENGTH, ENTITIES, CONTEXT = 7, 4, 3
-#: Words of one window at most; longer runs of candidates are cut, with no entity across a cut but by the patterns.
-WINDOW = 48
+LENGTH, CONTEXT = 7, 3
+#: Entities that one search may find: as many as there are.
+ENTITIES = float("inf")
 #: How much better the best labelling must be than the one without an entity.
 MARGIN = 1.0
 EPOCHS, EXAMPLES, SEED = 12, 400, 8
@@ -196,28 +195,26 @@ class SemiMarkov:
         return out
 
     def best(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(first word, word after the last, kind) of the best labelling of at most ENTITIES entities that beats its outside reading by MARGIN each."""
+        """(first word, word after the last, kind) of the best labelling whose entities beat their outside reading by MARGIN each."""
         f, _ = self.scores(words)
         s = self._segments(f)
         n = len(words)
         kind = s[:, :, 1:].argmax(2)
-        top = s[:, :, 1:].max(2) - MARGIN
-        outside = s[:, 0, 0]
-        value = np.full((n + 1, ENTITIES + 1), -np.inf)
-        value[0, 0] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        top = (s[:, :, 1:].max(2) - MARGIN).tolist()
+        outside = s[:, 0, 0].tolist()
+        value, back = [0.0], [(0, False)]
         for j in range(1, n + 1):
-            for e in range(ENTITIES + 1):
-                options = [(value[j - 1, e] + outside[j - 1], (j - 1, e))]
-                if e:
-                    options += [(value[j - l - 1, e - 1] + top[j - l - 1, l], (j - l - 1, e - 1)) for l in range(min(LENGTH, j))]
-                value[j, e], back[j, e] = max(options, key=lambda x: x[0])
-        j, e, out = n, int(value[n].argmax()), []
+            options = [(value[j - 1] + outside[j - 1], j - 1, False)]
+            options += [(value[j - l - 1] + top[j - l - 1][l], j - l - 1, True) for l in range(min(LENGTH, j))]
+            best = max(options, key=lambda x: x[0])
+            value.append(best[0])
+            back.append(best[1:])
+        j, out = n, []
         while j > 0:
-            i, before = back[j, e]
-            if before < e:
+            i, entity = back[j]
+            if entity:
                 out.append((i, j, int(kind[i, j - i - 1])))
-            j, e = i, before
+            j = i
         return out[::-1]
 
 
@@ -323,18 +320,15 @@ def _after(text: str, at: int) -> int:
 def model_spans(text: str, crf: SemiMarkov) -> Iterator[tuple[int, int, str]]:
     for start, end in windows(text):
         words = [(m.group(), m.start() + start, m.end() + start) for m in _WORD.finditer(text[start:end])]
-        for i in range(0, len(words), WINDOW):
-            part = words[i : i + WINDOW]
-            if any(len(w[0]) > _REACH for w in part):
-                part = [w if len(w[0]) <= _REACH else ("_", w[1], w[2]) for w in part]
-            for a, b, kind in crf.best([w[0] for w in part]):
-                s, e = part[a][1], part[b - 1][2]
-                while s < e and text[s] in _STRIP.replace("(", "").replace("[", "") + "\"'":
-                    s += 1
-                while e > s and text[e - 1] in ".,;:!?|\"'> ":
-                    e -= 1
-                if s < e:
-                    yield s, e, KINDS[kind]
+        words = [w if len(w[0]) <= _REACH else ("_", w[1], w[2]) for w in words]
+        for a, b, kind in crf.best([w[0] for w in words]):
+            s, e = words[a][1], words[b - 1][2]
+            while s < e and text[s] in _STRIP.replace("(", "").replace("[", "") + "\"'":
+                s += 1
+            while e > s and text[e - 1] in ".,;:!?|\"'> ":
+                e -= 1
+            if s < e:
+                yield s, e, KINDS[kind]
 
 
 def find_pii(docs: DataFrame, crf: SemiMarkov | None = None) -> DataFrame:
