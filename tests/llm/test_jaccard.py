@@ -2,7 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wefthread.llm import jaccard
@@ -78,6 +81,32 @@ def test_longer_prefixes_lose_nothing(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [3, 4, 24, 25, 500])
+def test_clusters_of_near_copies(spark, size):
+    rng = random.Random(size)
+    rows = list(enumerate(family(rng, size) + family(rng, size, 80, 9) + family(rng, 40, 30, 3), 1))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_list_gives_no_more_rows_than_sets(spark):
+    rng = random.Random(3)
+    for size in (2, 3, 24, 200):
+        texts = [f"{'a b c d e f g h'} {' '.join(str(rng.randrange(10**6)) for _ in range(4))}" for _ in range(size)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(size)), pa.array(texts)], ["doc_id", "text"])
+        order = jaccard.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        posted = list(jaccard._post(order, 1)(iter([batch])))
+        lists = Counter(jaccard._unpack(posted[0].column(1)[0].as_py())[0].tolist())
+        made = sum(b.num_rows for b in jaccard._pairs(iter(posted)))
+        assert made <= sum(n for n in lists.values() if n > 1)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(4)
+    one, two = family(rng, 9), family(rng, 9)
+    rows = [(5, one[0]), (5, two[0]), (3, one[1]), (2, two[1]), (5, one[2]), (9, one[3]), (8, two[2]), (8, "a lone text of some words")]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "é É"), (7, "É é"), (8, long), (9, long + " more"), (10, "a b c d e"), (11, "a b c d e"), (12, "Ünï ödd"), (13, "Ünï ödd")]
@@ -87,6 +116,12 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_keep_one_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b b b", "en", "a", 1), (1, "a a a", "en", "a", 1), (4, "B b b", "en", "a", 1)], DOCS)
+    assert [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()] == [(1, "a a a")]
+    assert jaccard.keep_one(docs.limit(0)).collect() == []
+
+
 def test_keep_one(spark):
     text = " ".join(f"k{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text, "en", "a", 1), (2, text + " z", "en", "b", 1), (9, "", "en", "c", 0), (8, None, None, None, None), (2, text + " z", "en", "b", 1), (None, "lone", None, None, None)], DOCS)

@@ -9,11 +9,11 @@ its prefix and ask for as many more shared ones before a pair is verified.
 
 1. One pass over the texts: size and 128-bit key of every set, and shingles seen
    often within a stretch of documents. Equal sets are one node from here on.
-2. Postings (shingle, set) of the prefixes, packed into blocks by shingle. Lists of
-   up to SHORT sets give their pairs, which are counted: a pair goes on if it
-   shares min(l) shingles and what can follow the last shared place allows the
-   similarity. Longer lists form no pair: they give star rows (least set of the
-   list, member). A pair that shares a long list is in that star's group, one that
+2. Postings (shingle, set) of the prefixes, packed into blocks by shingle. A list
+   gives no more rows than it has sets. Lists of two or three give their pairs, which
+   are counted: a pair goes on if it shares min(l) shingles and what can follow the
+   last shared place allows the similarity. Longer lists give star rows (least set of
+   the list, member). A pair that shares a long list is in that star's group, one that
    shares only short lists is counted in full; so neither loses a similar pair.
 3. Each group (a star, or the pairs of one set) gets its members' sets once.
    Members similar to the hub are linked to it; only the others are compared with
@@ -45,13 +45,13 @@ STRETCH, OFTEN = 1_500_000, 2
 MAX_MATCH, VERIFY = 8, 4.0
 #: Postings that a map task packs at once; postings of a block of shingles on average.
 PACK, BLOCK_POSTINGS = 500_000, 400_000
-#: Sets of a list that still gives its pairs.
-SHORT = 24
+#: Sets of a list that still gives its pairs: three have three, so that no list gives more rows than it has sets.
+SHORT = 3
 #: Members of a group that one task compares, and their shingles: long texts fill a task before many members do.
-GROUP, GROUP_SHINGLES = 2000, 3_000_000
+GROUP, GROUP_SHINGLES = 500, 1_500_000
 #: Bytes of a shingle's hash in the sets that are sent: within one group, 48 bits tell shingles apart.
 HASH_BYTES = 6
-#: Rows of ids and groups that are broadcast to pick sets; beyond, they are joined.
+#: Rows of ids and groups (24 bytes at most) that are broadcast to pick sets; beyond, they are joined.
 MAX_IDS = 2_000_000
 
 
@@ -254,18 +254,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[x[:, 0]].view(np.int64)), pa.array(keys[x[:, 1]].view(np.int64))] + [nothing] * 6, ["a", "b", "c", "pa", "pb", "na", "nb", "least"])
 
 
-def _ordered(order: Order, ids: np.ndarray | None):
+def _ordered(order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if ids is not None:
-                own = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                batch = batch.filter(pa.array(ids[at] == own))
             for i, j, values, at in _sets(batch):
+                key, _ = _keys(values, at)
                 values, length, match = order.prefixes(values, at)
                 narrow = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
                 blobs = pa.array([narrow[HASH_BYTES * at[k] : HASH_BYTES * at[k + 1]] for k in range(j - i)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(length.astype(np.int32)), pa.array(match.astype(np.int32)), blobs], ["doc", "prefix", "match", "tokens"])
+                own = batch.column(0).slice(i, j - i).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([own, pa.array(key.view(np.int64)), pa.array(length.astype(np.int32)), pa.array(match.astype(np.int32)), blobs], ["doc", "key", "prefix", "match", "tokens"])
 
     return run
 
@@ -273,12 +271,12 @@ def _ordered(order: Order, ids: np.ndarray | None):
 class _Group:
     """Sets of one group, their shingles numbered."""
 
-    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
-        self.doc = np.array([r[0] for r in rows])
-        self.prefix, self.match = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        self.n = np.array([len(r[3]) // HASH_BYTES for r in rows])
+    def __init__(self, rows: list[tuple[int, int, int, int, bytes]]):
+        self.doc, self.key = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.prefix, self.match = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        self.n = np.array([len(r[4]) // HASH_BYTES for r in rows])
         tokens = np.zeros((self.n.sum(), 8), np.uint8)
-        tokens[:, :HASH_BYTES] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HASH_BYTES)
+        tokens[:, :HASH_BYTES] = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, HASH_BYTES)
         vocabulary, ids = np.unique(tokens.view("<u8").ravel(), return_inverse=True)
         del tokens
         self.at = np.concatenate([[0], np.cumsum(self.n)])
@@ -311,17 +309,17 @@ class _Group:
         return DENOMINATOR * shared >= NUMERATOR * (self.n[i] + self.n[others] - shared)
 
 
-def _solve(rows: list[tuple[bool, bool, int, int, int, bytes]], star: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that join the sets of a group, and members that aren't similar to the hub.
+def _solve(rows: list[tuple[bool, bool, int, int, int, int, bytes]], star: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links (of documents) that join the sets of a group, and keys of the members that aren't similar to the hub.
 
-    rows: (is hub, is loose, doc, prefix, match, tokens). With ``star`` the hub's
+    rows: (is hub, is loose, doc, key, prefix, match, tokens). With ``star`` the hub's
     links are found here; otherwise the loose rows are known.
     """
     unique = {}
     for hub, loose, *row in rows:
-        old = unique.get(row[0])
-        unique[row[0]] = (hub or (old is not None and old[0]), loose or (old is not None and old[1]), row)
-    rows = sorted(unique.values(), key=lambda r: r[2][0])
+        old = unique.get(row[1])
+        unique[row[1]] = (hub or (old is not None and old[0]), loose or (old is not None and old[1]), row)
+    rows = sorted(unique.values(), key=lambda r: r[2][:2])
     g = _Group([tuple(r[2]) for r in rows])
     size = len(rows)
     root = np.arange(size)  # of each member, its class within the group
@@ -351,11 +349,11 @@ def _solve(rows: list[tuple[bool, bool, int, int, int, bytes]], star: bool) -> t
         for x in k[one]:
             links.append((int(g.doc[i]), int(g.doc[x])))
             root[root == root[x]] = root[i]
-    return links, [int(x) for x in g.doc[loose]]
+    return links, [int(x) for x in g.key[loose]]
 
 
 def _by_group(star: bool):
-    """Links as (hub, a, b) and, with ``star``, loose members as (hub, doc, null), from rows sorted by group."""
+    """Links as (hub, a, b) and, with ``star``, loose members as (hub, key, null), from rows sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -379,6 +377,11 @@ def _by_group(star: bool):
     return run
 
 
+def _some(df: DataFrame) -> DataFrame:
+    """``df``, a few numbers a row, broadcast where it has few rows. It is counted first: it should be a frame from ``cut``."""
+    return F.broadcast(df) if df.count() <= MAX_IDS else df
+
+
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k1, k2) of all rows, and links (a, b) between documents of different sets.
 
@@ -402,44 +405,36 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reach = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     goes_on = (F.col("c") >= F.col("least")) & ((NUMERATOR + DENOMINATOR) * reach >= NUMERATOR * (F.col("na") + F.col("nb")))
     met = met.where(F.col("star") | goes_on)
-    stars = met.select("a", F.explode(F.array("a", "b")).alias("b")).distinct().toDF("hub", "member")
-    stars = cut(stars)
-    nodes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"))
-    members = cut(stars.join(nodes, stars["member"] == nodes["k1"]).select("hub", "doc", (F.col("hub") == F.col("member")).alias("is_hub"), "n"))
-
-    chosen = members.select("doc").distinct()
-    if chosen.count() <= MAX_IDS:
-        ids = np.sort(chosen.toPandas()["doc"].to_numpy(np.int64))
-        sets = docs.mapInArrow(_ordered(order, ids), "doc long, prefix int, match int, tokens binary") if len(ids) else None
-    else:
-        sets = docs.join(chosen, docs["doc_id"] == chosen["doc"], "left_semi").mapInArrow(_ordered(order, None), "doc long, prefix int, match int, tokens binary")
-    if sets is None:
-        return rows, spark.createDataFrame([], "a long, b long")
+    stars = cut(met.select("a", F.explode(F.array("a", "b")).alias("b")).distinct().toDF("hub", "key"))
+    nodes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("key"), "k2", "n").agg(F.min("doc_id").alias("doc"))
+    members = cut(stars.join(nodes, "key").select("hub", "key", "doc", (F.col("hub") == F.col("key")).alias("is_hub"), "n"))
+
+    chosen = cut(members.select("doc").distinct())
+    sets = docs.join(_some(chosen), docs["doc_id"] == chosen["doc"], "left_semi").mapInArrow(_ordered(order), "doc long, key long, prefix int, match int, tokens binary")
 
     blocks_of = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
-    counted = members.groupBy("hub").agg(blocks_of.alias("parts"))
-    dealt = members.join(counted, "hub")
-    mine = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    # groups of more than one part: few, so that no group's rows meet in one task to learn of it
+    large = cut(members.groupBy("hub").agg(blocks_of.alias("parts")).where("parts > 1"))
+    dealt = members.join(_some(large), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     # the hub goes to every part of its group
-    placed = dealt.select("hub", "doc", "is_hub", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))).alias("i"))
+    placed = dealt.select("hub", "key", "doc", "is_hub", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))).alias("i"))
 
     def solve(where: DataFrame, star: bool) -> DataFrame:
-        side = F.broadcast(where) if where.count() <= MAX_IDS else where
-        with_sets = sets.join(side, "doc").select("hub", "i", "j", "is_hub", "loose", "doc", "prefix", "match", "tokens")
+        with_sets = sets.join(_some(where), ["doc", "key"]).select("hub", "i", "j", "is_hub", "loose", "doc", "key", "prefix", "match", "tokens")
         sorted_ = with_sets.repartition(max(parts, 1), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc")
         return cut(sorted_.mapInArrow(_by_group(star), "hub long, a long, b long"))
 
     found = solve(cut(placed.withColumn("j", F.lit(0)).withColumn("loose", F.lit(False))), True)
     links = found.where("b is not null").select("a", "b")
     # loose members of groups of several parts meet the whole group
-    large = counted.where("parts > 1")
-    size = members.select("hub", F.col("doc").alias("a"), "n")
-    loose = found.where("b is null").select("hub", "a").distinct().join(large, "hub").join(size, ["hub", "a"]).select("hub", F.col("a").alias("doc"), "n", "parts")
+    loose = found.where("b is null").select("hub", F.col("a").alias("key")).distinct().join(_some(large), "hub").join(members.select("hub", "key", "doc", "n"), ["hub", "key"])
+    loose = cut(loose.select("hub", "key", "doc", "n", "parts"))
     if loose.limit(1).count():
-        wide = loose.groupBy("hub").agg(blocks_of.alias("rows"))
-        left = loose.join(wide, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("loose"))
-        right = dealt.join(wide, "hub").select("hub", "doc", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("loose"))
-        both = left.union(right).select("hub", "doc", "i", "j", "loose", F.lit(False).alias("is_hub"))
+        wide = cut(loose.groupBy("hub").agg(blocks_of.alias("rows")))
+        left = loose.join(_some(wide), "hub").select("hub", "key", "doc", F.pmod(F.xxhash64("key", F.lit(1)), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("loose"))
+        right = dealt.join(_some(wide), "hub").select("hub", "key", "doc", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("loose"))
+        both = left.union(right).select("hub", "key", "doc", "i", "j", "loose", F.lit(False).alias("is_hub"))
         links = links.union(solve(cut(both), False).where("b is not null").select("a", "b"))
     return rows, links
 
@@ -451,25 +446,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Texts of no words (null, empty, blank) have no shingles and link with nothing; a
     text of one to four words has one shingle, its sequence. Repeated rows each have
     a row; rows of one doc_id and different texts count as one node; a null doc_id
-    takes the smallest of its component, or null. An empty table gives an empty
+    takes the smallest of the rows with its set, or null. An empty table gives an empty
     result; other columns are dropped.
     """
     rows, links = similar_sets(docs)
+    nodes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
+    # ids with several sets join these
+    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("doc_id")
+    several = cut(several)
+    if several.limit(1).count():
+        links = links.union(rows.join(_some(several), "doc_id").join(nodes, ["k1", "k2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     classes = components(links)
-    nodes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     named = nodes.join(classes, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("c"))
     out = rows.join(named, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, the one of the smallest doc_id; rows of null doc_id stay if nothing of theirs has an id."""
-    found = jaccard_components(docs)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if docs.where("doc_id is null").limit(1).count():
-        first = first.union(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return first
+    """``docs`` with one row of each component, that of the smallest doc_id and, of several, the least in its other columns.
+
+    Rows of null doc_id stay, one of each text.
+    """
+    found = cut(jaccard_components(docs))
+    names = docs.columns
+    own = docs.where("doc_id is not null").join(_some(cut(found.where("component_id != doc_id").select("doc_id").distinct())), "doc_id", "left_anti")
+    again = cut(found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    others = ["text", *(c for c in names if c not in ("doc_id", "text"))]
+    one = own.join(_some(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("least")).select("doc_id", "least.*").select(*names)
+    lone = docs.where("doc_id is null").dropDuplicates(["text"])
+    return own.join(_some(again), "doc_id", "left_anti").select(*names).union(one).union(lone.select(*names))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
