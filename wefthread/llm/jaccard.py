@@ -4,16 +4,18 @@ A document is the set of its distinct 5-word shingles. Two sets of similarity
 0.8 or more share at least need = ceil(0.8 * size) shingles of either, so the
 first size - need + l shingles of both, in one order for all, share l. The order
 puts shingles that many documents hold last. A document takes the l of least
-estimated cost: shingles that are common in spite of the order make it lengthen
-its prefix and ask for as many more shared ones before a pair is verified.
+estimated cost, its postings and the sets that are sent for the candidates they
+bring: long texts, and those of shingles that are common in spite of the order,
+lengthen their prefix and ask for as many more shared ones before a pair is verified.
 
 1. One pass over the texts: size and 128-bit key of every set, and shingles seen
    often within a stretch of documents. Equal sets are one node from here on.
 2. Postings (shingle, set) of the prefixes, packed into blocks by shingle. A list
-   gives no more rows than it has sets. Lists of two or three give their pairs, which
-   are counted: a pair goes on if it shares min(l) shingles and what can follow the
-   last shared place allows the similarity. Longer lists give star rows (least set of
-   the list, member). A pair that shares a long list is in that star's group, one that
+   gives rows in proportion to its sets, less those that no other set of it can be
+   similar to by size and place. Lists of up to SHORT sets give their pairs, which are
+   counted: a pair goes on if it shares min(l) shingles and what can follow the last
+   shared place allows the similarity. Longer lists give star rows (least set of the
+   list, member). A pair that shares a long list is in that star's group, one that
    shares only short lists is counted in full; so neither loses a similar pair.
 3. Each group (a star, or the pairs of one set) gets its members' sets once.
    Members similar to the hub are linked to it; only the others are compared with
@@ -41,12 +43,14 @@ NUMERATOR, DENOMINATOR = 80, 100
 MAX_COMMON = 1_000_000
 #: Shingles of documents that are counted together, and the count there from which one is reported.
 STRETCH, OFTEN = 1_500_000, 2
-#: Prefixes are lengthened by at most MAX_MATCH - 1; cost of a verification, in postings.
-MAX_MATCH, VERIFY = 8, 4.0
+#: Prefixes are lengthened by at most MAX_MATCH - 1. A posting's bytes; other sets that a shingle not known as common brings, on average.
+MAX_MATCH, POSTING, UNKNOWN = 8, 16, 0.05
 #: Postings that a map task packs at once; postings of a block of shingles on average.
 PACK, BLOCK_POSTINGS = 500_000, 400_000
-#: Sets of a list that still gives its pairs: three have three, so that no list gives more rows than it has sets.
-SHORT = 3
+#: Sets of a list that still gives its pairs, no more than 5.5 for each set of it.
+SHORT = 12
+#: Sets of a list whose sizes and places are compared one by one, in place, before it gives rows.
+TRIED = 64
 #: Members of a group that one task compares, and their shingles: long texts fill a task before many members do.
 GROUP, GROUP_SHINGLES = 500, 1_500_000
 #: Bytes of a shingle's hash in the sets that are sent: within one group, 48 bits tell shingles apart.
@@ -126,8 +130,9 @@ class Order:
         sums = np.concatenate([[0], np.cumsum(seen)])
         best, match = np.full(len(n), np.inf), np.ones(len(n), np.int64)
         for l in range(1, MAX_MATCH + 1):
-            shared = sums[np.minimum(at[:-1] + n - least + l, at[1:])] - sums[at[:-1]]
-            cost = np.where(l <= least, shared * (1 + VERIFY / l), np.inf)
+            length = n - least + l
+            met = sums[np.minimum(at[:-1] + length, at[1:])] - sums[at[:-1]] + UNKNOWN * length
+            cost = np.where(l <= least, POSTING * length + HASH_BYTES * n * met / l**2, np.inf)
             match = np.where(cost < best, l, match)
             best = np.minimum(cost, best)
         return values, np.minimum(n - least + match, n), match
@@ -208,7 +213,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again = np.zeros(len(token), bool)
     again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
     new, owner, place = new[~again], owner[~again], place[~again]
-    at = np.flatnonzero(new)
+    listed = np.cumsum(new) - 1
+    # a list without those of its sets that are similar to no other of it, by size and by place
+    pick = _possible(listed, n[owner], place)
+    listed, owner, place = listed[pick], owner[pick], place[pick]
+    at = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]]) if len(listed) else np.zeros(0, int)
     size = np.diff(np.append(at, len(owner)))
     left, right = [], []
     for k in range(2, SHORT + 1):
@@ -219,11 +228,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append((lists[:, None] + j).ravel())
     if left:
         left, right = np.concatenate(left), np.concatenate(right)
-        a, b = owner[left], owner[right]
-        pa_, pb = place[left], place[right]
-        most = np.minimum(pa_, pb) + 1 + np.minimum(n[a] - pa_, n[b] - pb) - 1
-        can = ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n[a] + n[b])) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
-        a, b, pa_, pb = a[can], b[can], pa_[can], pb[can]
+        can = _can(n[owner[left]], n[owner[right]], place[left], place[right])
+        left, right = left[can], right[can]
+        a, b, pa_, pb = owner[left], owner[right], place[left], place[right]
         by = np.lexsort((b, a))
         a, b, pa_, pb = a[by], b[by], pa_[by], pb[by]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
@@ -236,8 +243,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in columns], ["a", "b", "c", "pa", "pb", "na", "nb", "least"])
     long = np.repeat(size > SHORT, size)
     if long.any():
-        which = np.repeat(np.arange(len(size)), size)[long]
-        member = owner[long]
+        which, member = listed[long], owner[long]
         # sizes too far apart can't be similar: a list falls apart where the next size is out of reach
         by = np.lexsort((n[member], which))
         which, member = which[by], member[by]
@@ -254,6 +260,28 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[x[:, 0]].view(np.int64)), pa.array(keys[x[:, 1]].view(np.int64))] + [nothing] * 6, ["a", "b", "c", "pa", "pb", "na", "nb", "least"])
 
 
+def _can(na, nb, pa_, pb):
+    """Whether sets of these sizes that share a shingle at these places may be similar: before it they share what both have, after it too."""
+    most = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
+    return ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (na + nb)) & (DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb))
+
+
+def _possible(listed: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of lists (numbers in order), the rows that may be similar to another of their list; those of lists above TRIED all stay."""
+    at = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]]) if len(listed) else np.zeros(0, int)
+    size = np.diff(np.append(at, len(listed)))
+    out = np.repeat(size > TRIED, size)
+    for k in np.unique(size[(size > 1) & (size <= TRIED)]).tolist():
+        rows = at[size == k][:, None] + np.arange(k)
+        some = np.zeros(rows.shape, bool)
+        for d in range(1, k):
+            can = _can(n[rows[:, :-d]], n[rows[:, d:]], place[rows[:, :-d]], place[rows[:, d:]])
+            some[:, :-d] |= can
+            some[:, d:] |= can
+        out[rows[some]] = True
+    return out
+
+
 def _ordered(order: Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
