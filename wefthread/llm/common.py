@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +23,32 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A query that is run here deletes its shuffle files when it is over, not when the driver happens to collect its garbage."""
+    was = spark.conf.get(_FREES)
+    spark.conf.set(_FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREES, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: no lineage, and safe from lost executors.
 
-    The files go when the session's JVM ends.
+    Its shuffle files go at once, the files written when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,12 +61,6 @@ def drop_cut(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are over: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
