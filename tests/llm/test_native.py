@@ -99,6 +99,17 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_null_ids_are_no_real_ids(spark):
+    rows = [(i, "w " * n, "en", "a", 0) for n in range(1, 31) for i in (None, -1, 0, None)] + [(9, "w " * 40, "en", "b", 0)] * 50
+    docs = frame(spark, rows, DOCS)
+    got = mixing.mix(docs).collect()
+    kept = mixing.take(docs).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 40
+        assert sum(len(r.text.split()) for r in kept if r.source == s) == sum(r.taken for r in own)
+
+
 def test_pivotal_keeps_probabilities(spark):
     rows = [(i, "w " * (1 + i % 50), "en", "ab"[i % 3 == 0], 0) for i in range(3000)]
     got = mixing.mix(frame(spark, rows, DOCS)).collect()

@@ -52,22 +52,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> Data
     return per.select("source", "source_size", F.coalesce(F.least(F.col("w") * F.col("level"), "cap"), "cap").alias("target"))
 
 
+def _id(prefix: str = "") -> list[Column]:
+    """Whether doc_id is null, and doc_id: no real id stands for a null one."""
+    return [F.col("doc_id").isNull().alias(f"{prefix}none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias(f"{prefix}id")]
+
+
 def _coin(*of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def _fold(items: Column) -> Column:
     """Struct of the one unit left open (null if none) and the units decided, by pivotal steps along ``items``."""
-    unit = "struct<id:bigint,dup:int,size:bigint,p:double>"
+    unit = "struct<none:boolean,id:bigint,dup:int,size:bigint,p:double>"
     start = F.struct(F.lit(None).cast(unit).alias("open"), F.array().cast(f"array<{unit}>").alias("done"))
     whole = lambda u: (u["p"] <= _EPS) | (u["p"] >= 1 - _EPS)
-    with_p = lambda u, p: F.struct(u["id"].alias("id"), u["dup"].alias("dup"), u["size"].alias("size"), p.alias("p"))
+    with_p = lambda u, p: F.struct(u["none"].alias("none"), u["id"].alias("id"), u["dup"].alias("dup"), u["size"].alias("size"), p.alias("p"))
     def step(acc, u):
         o = acc["open"]
         # mass in words: a takes from b at most up, gives b at most down
         up = F.least((1 - o["p"]) * o["size"], u["p"] * u["size"])
         down = F.least(o["p"] * o["size"], (1 - u["p"]) * u["size"])
-        moved = F.when(_coin(o["id"], u["id"], o["dup"], u["dup"], F.lit(SEED)) < down / (up + down), up).otherwise(-down)
+        moved = F.when(_coin(o["id"], u["id"], o["dup"], u["dup"], o["none"], u["none"], F.lit(SEED)) < down / (up + down), up).otherwise(-down)
         a = with_p(o, o["p"] + moved / o["size"])
         b = with_p(u, u["p"] - moved / u["size"])
         pair = F.array(a, b)
@@ -97,11 +102,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame
     aims = aims.withColumn("whole", F.floor(ratio + _EPS)).withColumn("part", F.greatest(ratio - F.floor(ratio + _EPS), F.lit(0.0)))
 
     parts = aims.where(F.col("part") > _EPS).select(F.col("source").alias("s"), "part")
-    open_ = sizes.where("size > 0").join(parts, F.col("source").eqNullSafe(F.col("s"))).select("source", F.coalesce("doc_id", F.lit(-1)).alias("id"), "dup", "size", F.col("part").alias("p"))
+    open_ = sizes.where("size > 0").join(parts, F.col("source").eqNullSafe(F.col("s"))).select("source", *_id(), "dup", "size", F.col("part").alias("p"))
     # classes of like size: eight to a doubling
     open_ = open_.withColumn("c", F.floor(F.log2("size") * 8).cast("int"))
     dealt = open_.groupBy("source", "c").count().select(F.col("source").alias("s"), F.col("c").alias("k"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    open_ = open_.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("c") == F.col("k"))).withColumn("block", F.pmod(F.xxhash64("id", "dup", F.lit(SEED)), F.col("blocks")))
+    open_ = open_.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("c") == F.col("k"))).withColumn("block", F.pmod(F.xxhash64("none", "id", "dup", F.lit(SEED)), F.col("blocks")))
     most = dealt.agg(F.max("blocks")).first()[0] or 0
     done = None
     levels, blocks = 1, most
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame
     for level in range(levels + 1):
         last = level == levels  # all classes of a source meet: at most 8 * 63 units
         keys = ["source"] if last else ["source", "c", "block"]
-        unit = F.struct("id", "dup", "size", "p")
+        unit = F.struct("none", "id", "dup", "size", "p")
         # large documents first: the one left at the end is small
         items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), unit.alias("u")))), lambda x: x["u"])
         folded = at.groupBy(*keys).agg(items.alias("items")).select(*keys, _fold(F.col("items")).alias("f"))
@@ -121,10 +126,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame
         at = folded.where("f.open is not null").select(*keys, "f.open.*")
         if not last:
             at = at.withColumn("block", F.floor(F.col("block") / BLOCK))
-    final = at.select("source", "id", "dup", "size", F.when(_coin(F.col("id"), F.col("dup"), F.lit(SEED + 1)) < F.col("p"), 1.0).otherwise(0.0).alias("p"))
-    extra = done.union(final).where("p > 0.5").select(F.col("source").alias("s2"), "id", F.col("dup").alias("d2"), F.col("size").alias("z2"), F.lit(1).alias("more"))
+    final = at.select("source", "none", "id", "dup", "size", F.when(_coin(F.col("id"), F.col("dup"), F.col("none"), F.lit(SEED + 1)) < F.col("p"), 1.0).otherwise(0.0).alias("p"))
+    extra = done.union(final).where("p > 0.5").select(F.col("source").alias("s2"), "none", "id", F.col("dup").alias("d2"), F.col("size").alias("z2"), F.lit(1).alias("more"))
     out = sizes.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    out = out.join(extra, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("dup") == F.col("d2")) & (F.col("size") == F.col("z2")), "left")
+    out = out.join(extra, (F.coalesce("doc_id", F.lit(0)) == F.col("id")) & (F.col("doc_id").isNull() == F.col("none")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("dup") == F.col("d2")) & (F.col("size") == F.col("z2")), "left")
     copies = (F.col("whole") + F.coalesce("more", F.lit(0))).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -140,14 +145,16 @@ def take(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFram
     as often as the mix takes them together.
     """
     names = docs.columns
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64("source").alias("__s"), word_count(F.col("text")).alias("__z")]
-    decided = mix(docs, weights, ceiling).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.xxhash64("source").alias("__s"), F.col("size").alias("__z"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies"))
-    # one row a key with its copies in order, so that repeated rows each get one of them
-    times = decided.groupBy("__id", "__s", "__z").agg(F.sort_array(F.collect_list("__copies")).alias("__all"))
-    rows = docs.select(*names, *key).join(times, ["__id", "__s", "__z"])
-    twice = rows.where(F.size("__all") > 1)
-    same = Window.partitionBy("__id", "__s", "__z").orderBy("text")
-    numbered = twice.withColumn("__k", F.row_number().over(same) - 1).withColumn("__n", F.get("__all", F.col("__k"))).drop("__k")
-    single = rows.where(F.size("__all") == 1).withColumn("__n", F.get("__all", F.lit(0)))
-    both = single.unionByName(numbered).where("__n > 0")
+    by = ["__none", "__id", "__s", "__z"]
+    key = [*_id("__"), F.xxhash64("source").alias("__s")]
+    decided = mix(docs, weights, ceiling).select(*key, F.col("size").alias("__z"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("__copies"))
+    # a key's numbers of copies with how many rows have each: a few, however often rows repeat
+    times = decided.groupBy(*by, "__copies").agg(F.count(F.lit(1)).alias("__rows")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__copies", "__rows"))).alias("__all"))
+    rows = docs.select(*names, *key, word_count(F.col("text")).alias("__z")).join(times, by)
+    single = rows.where(F.size("__all") == 1).withColumn("__n", F.get("__all", F.lit(0))["__copies"])
+    same = Window.partitionBy(*by).orderBy("text")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("n"))
+    of_row = F.aggregate("__all", start, lambda acc, x: F.struct((acc["seen"] + x["__rows"]).alias("seen"), F.coalesce(acc["n"], F.when(F.col("__k") <= acc["seen"] + x["__rows"], x["__copies"])).alias("n")), lambda acc: acc["n"])
+    mixed = rows.where(F.size("__all") > 1).withColumn("__k", F.row_number().over(same)).withColumn("__n", of_row).drop("__k")
+    both = single.unionByName(mixed).where("__n > 0")
     return both.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)
