@@ -1,8 +1,9 @@
 """Secrets: fixed patterns, and a small convolutional network over characters.
 
 The patterns (``base_spans``) always stand. Candidates for the network are all
-long unbroken runs of key-like characters that no pattern covers; it reads the
-candidate and AROUND characters on either side: an embedding of character
+long unbroken runs of key-like characters, less what patterns cover. Of a run over
+INSIDE characters it looks at every part between separators and at overlapping
+windows, to the last character. It reads a look and AROUND characters on either side: an embedding of character
 classes, one convolution, the strongest response of each filter inside the
 candidate and around it, and a logistic output. Its outputs are calibrated
 (temperature and shift) on held-out findings, and the threshold is the highest
@@ -39,6 +40,7 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{MIN_LENGTH},}}")
+_PART = re.compile(rf"[A-Za-z0-9+]{{{MIN_LENGTH},}}")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 
@@ -81,9 +83,9 @@ _LENGTH = 2 * AROUND + INSIDE
 
 
 def encode(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the characters, and where the candidate is; of one longer than INSIDE the two ends."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    inner = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
+    """Classes of the characters of a look, at most INSIDE, and of those around it, and where it is."""
+    end = min(end, start + INSIDE)
+    before, inner, after = text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]
     x, mask = np.zeros(_LENGTH, np.int32), np.zeros(_LENGTH, bool)
     for at, part in ((AROUND - len(before), before), (AROUND, inner), (AROUND + len(inner), after)):
         x[at : at + len(part)] = [_class(c) for c in part]
@@ -157,7 +159,7 @@ class CharacterNetwork:
         self.scale, self.offset = max(a, 1e-3), b
         p = 1 / (1 + np.exp(-(self.scale * z + self.offset)))
         found = np.sort(p[t == 1])
-        self.threshold = float(max(0.5, found[int(np.floor((1 - RECALL) * len(found)))])) if len(found) else 0.5
+        self.threshold = float(found[int(np.floor((1 - RECALL) * len(found)))]) if len(found) else 0.5
         return self
 
     def _gradient(self, x, mask, extra, y) -> dict[str, np.ndarray]:
@@ -218,12 +220,59 @@ def model() -> CharacterNetwork:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Runs of key-like characters, less the base spans (by start)."""
     out = []
+    k, reach = 0, 0  # the next base span, and the end of those before
     for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
+        at, end = m.span()
+        at = max(at, min(reach, end))
+        while k < len(base) and base[k][0] < end:
+            out.append((at, base[k][0]))
+            reach = max(reach, base[k][1])
+            at = max(at, min(reach, end))
+            k += 1
+        out.append((at, end))
+    bare = []
+    for s, e in out:
         while e > s and text[e - 1] in ".-":
             e -= 1
-        if e - s >= MIN_LENGTH and not any(s < y and x < e for x, y, _ in base):
+        if e - s >= MIN_LENGTH:
+            bare.append((s, e))
+    return bare
+
+
+def looks(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """(start, end, is a window) of what the network reads of a candidate, MIN_LENGTH to INSIDE characters each."""
+    if end - start <= INSIDE:
+        return [(start, end, False)]
+
+    def slide(s: int, e: int, window: bool) -> list[tuple[int, int, bool]]:
+        return [(x, x + INSIDE, window) for x in range(s, e - INSIDE, INSIDE // 2)] + [(max(s, e - INSIDE), e, window)]
+
+    out = []
+    for m in _PART.finditer(text, start, end):
+        out += slide(*m.span(), False)
+    return out + slide(start, end, True)
+
+
+def _joined(found: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """Stretches of the looks taken for secrets; a window only where no part is one."""
+    parts = _union([(s, e) for s, e, window in found if not window])
+    lone, k = [], 0
+    for s, e in sorted((s, e) for s, e, window in found if window):
+        while k < len(parts) and parts[k][1] <= s:
+            k += 1
+        if k == len(parts) or parts[k][0] >= e:
+            lone.append((s, e))
+    return _union(parts + lone)
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
             out.append((s, e))
     return out
 
@@ -249,25 +298,29 @@ def find_secrets(docs: DataFrame, network: CharacterNetwork | None = None) -> Da
 def scan(texts: list[str], network: CharacterNetwork) -> list[list[tuple[int, int, str, bool]]]:
     """The spans of each text; the network reads the candidates of all of them together."""
     out: list[list[tuple[int, int, str, bool]]] = []
-    waiting: list[tuple[int, int, int]] = []
+    waiting: list[tuple[int, int, int, bool]] = []
+    found: dict[int, list[tuple[int, int, bool]]] = {}
 
     def decide() -> None:
         if waiting:
-            x, mask = (np.stack(v) for v in zip(*(encode(texts[i], s, e) for i, s, e in waiting)))
-            p = network.probability(x, mask, np.array([shape(texts[i], s, e) for i, s, e in waiting]))
-            for (i, s, e), q in zip(waiting, p):
+            x, mask = (np.stack(v) for v in zip(*(encode(texts[i], s, e) for i, s, e, _ in waiting)))
+            p = network.probability(x, mask, np.array([shape(texts[i], s, e) for i, s, e, _ in waiting]))
+            for (i, s, e, window), q in zip(waiting, p):
                 if q >= network.threshold:
-                    out[i].append((s, e, OTHER, False))
+                    found.setdefault(i, []).append((s, e, window))
             waiting.clear()
 
     for i, text in enumerate(texts):
         base = base_spans(text)
         out.append([(s, e, k, True) for s, e, k in base])
         for s, e in candidates(text, base):
-            waiting.append((i, s, e))
-            if len(waiting) >= 1024:
-                decide()
+            for look in looks(text, s, e):
+                waiting.append((i, *look))
+                if len(waiting) >= 1024:
+                    decide()
     decide()
+    for i, own in found.items():
+        out[i] += [(s, e, OTHER, False) for s, e in _joined(own)]
     for spans in out:
         spans.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return out
