@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wefthread.llm import mixing, simhash, urls
 from wefthread.llm.common import components
@@ -33,6 +35,39 @@ def test_url_rules_match_oracle(spark):
     assert got == set(con.execute(urls.ORACLE_SQL).fetchall())
 
 
+@pytest.mark.parametrize("where", ["sf0.001", "sf0.01"])
+def test_url_aliases_match_oracle(spark, where):
+    folder = f"/root/testdata/{where}"
+    got = sorted(tuple(r) for r in urls.url_aliases(spark, folder).select("page_id", "host", "path", "rule", "verdict", "source").collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+    assert got == sorted(con.execute(urls.ALIAS_SQL).fetchall())
+    assert {r[4] for r in got if r[5] == "alias"} == {"allow", "block"}
+
+
+def test_relative_links_resolve_as_in_the_library(spark):
+    bases = ["http://a.net/x/y/z.html?q=1#f", "https://A.org", "http://b.com/", "http://c.de/d/"]
+    links = ["http://o.net/1", "//o.net/2", "/es/x", "e/f", "./g", "../h", "../../../i", "?k=2", "j?x=../y", "l/../m/./n", "..", ".", "o#p", "a&amp;b"]
+    rows = [(b, x) for b in bases for x in links]
+    got = {(r.base, r.to): r.url for r in frame(spark, rows, "base string, to string").withColumn("url", urls.resolve(F.col("to"), F.col("base"))).collect()}
+    for b, x in rows:
+        assert got[b, x] == urljoin(b, x.replace("&amp;", "&")), (b, x)
+    none = frame(spark, [("http://a.net/x", x) for x in ("", "#top", "mailto:a@b.cd", "javascript:x()")] + [("no scheme", "/a"), (None, "/a"), ("http://a.net/", None)], "base string, to string")
+    assert {r.url for r in none.select(urls.resolve(F.col("to"), F.col("base")).alias("url")).collect()} == {None}
+
+
+def test_a_harmless_canonical_page_blocks_nobody(spark):
+    link = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "http://a.net/es", ""), (2, "http://b.net/es", link % "http://fine.org/page"), (3, "http://fine.org/page", ""),
+        (4, "http://c.org/x/1", link % "/es/new"), (5, "http://e.net/q", link % "/es/new"), (6, "http://f.org/long", "<link " + "data-x='y' " * 400 + "rel=canonical href=//g.net/fr/z>"),
+        (7, "http://h.org/in", '<base href="http://i.net/es/"><meta http-equiv=refresh content="0; url=page">'), (8, "http://j.org/up", '<meta http-equiv="refresh" content="5; URL=../es/">'),
+    ]
+    by = {r.page_id: (r.verdict, r.source) for r in urls.filter_urls(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert by[1] == by[2] == by[3] == by[4] == by[8] == ("allow", "default")
+    assert by[5] == by[6] == by[7] == ("block", "alias")
+
+
 def test_url_edges(spark):
     page = lambda i, url, html="": (i, url, html)
     rows = [

@@ -20,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": bpe.op7_bpe,
         "op8_pii": pii.op8_pii,
         "op9_url_filter": urls.op9_url_filter,
+        "url_aliases": urls.url_aliases,
         "op10_secrets": secret_scan.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_voronoi_knn": knn.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL}
+    return {"op1_voronoi_knn": knn.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL, "url_aliases": urls.ALIAS_SQL}
