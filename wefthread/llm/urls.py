@@ -88,26 +88,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_SMALL else df
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is made once: a plain column would be written out at each of its uses."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def resolve(to: Column, base: Column) -> Column:
     """The url that ``to`` names on a page of url ``base``; null for other schemes, fragments and empty links."""
-    to = F.regexp_replace(F.trim(to), "&amp;", "&")
-    scheme = F.regexp_extract(base, r"(?s)^([^:/?#]*)://", 1)
-    host = F.regexp_extract(base, r"(?s)^[^:/?#]*://([^/?#]*)", 1)
-    path = F.regexp_extract(base, r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1)
-    joined = F.when(F.startswith(to, F.lit("/")), to).otherwise(F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/?(.*/)?", 1), to))
-    rest = F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
-    parts = F.split(F.regexp_extract(joined, r"(?s)^/([^?#]*)", 1), "/", -1)
-    last = F.element_at(parts, -1)
-    open_end = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    walk = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
-    clean = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), walk), open_end), "/"))
-    return (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when((F.instr(base, "://") == 0) | (to == "") | F.startswith(to, F.lit("#")) | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("?")), F.concat(scheme, F.lit("://"), host, path, to))
-        .otherwise(F.concat(scheme, F.lit("://"), host, clean, rest))
-    )
+
+    def clean(joined: Column) -> Column:
+        """Without . and .. between the slashes of the path."""
+        walk = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+        none = F.array().cast("array<string>")
+        end = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        path = _let(F.split(F.regexp_extract(joined, r"(?s)^/([^?#]*)", 1), "/", -1), lambda parts: F.array_join(F.concat(F.aggregate(parts, none, walk), end(parts)), "/"))
+        return F.concat(F.lit("/"), path, F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1))
+
+    def found(link: Column) -> Column:
+        to, base = link["to"], link["base"]
+        scheme = F.regexp_extract(base, r"(?s)^([^:/?#]*)://", 1)
+        site = F.regexp_extract(base, r"(?s)^([^:/?#]*://[^/?#]*)", 1)
+        path = F.regexp_extract(base, r"(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+        joined = F.when(F.startswith(to, F.lit("/")), to).otherwise(F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/?(.*/)?", 1), to))
+        return (
+            F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when((F.instr(base, "://") == 0) | (to == "") | F.startswith(to, F.lit("#")) | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+            .when(F.startswith(to, F.lit("?")), F.concat(site, path, to))
+            .otherwise(F.concat(site, _let(joined, clean)))
+        )
+
+    return _let(F.named_struct(F.lit("to"), F.regexp_replace(F.trim(to), "&amp;", "&"), F.lit("base"), base), found)
 
 
 def link_edges(pages: DataFrame, key: str = "__key") -> DataFrame:
@@ -119,16 +130,17 @@ def link_edges(pages: DataFrame, key: str = "__key") -> DataFrame:
     tag = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*+>)"), 1)
     tags = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh") | F.lower(html).contains("og:url")).select(F.col(key).alias("a"), "url", tag.alias("tags"))
     href = lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    base = F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\b")), F.lit(0))
-    tags = tags.select("a", F.coalesce(F.when(base.isNotNull(), resolve(href(base), F.col("url"))), "url").alias("base"), F.explode(F.filter("tags", lambda t: ~t.rlike(r"(?is)^<base\b"))).alias("tag"))
+    is_base = lambda t: t.rlike(r"(?is)^<base\b")
+    base = F.transform(F.filter("tags", is_base), lambda t: resolve(href(t), F.col("url")))
+    tags = cut(tags.select("a", F.coalesce(F.get(base, F.lit(0)), "url").alias("base"), F.explode(F.filter("tags", lambda t: ~is_base(t))).alias("tag")))
     content = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1)
     to = (
         F.when(F.col("tag").rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), href(F.col("tag")))
         .when(F.col("tag").rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(content, r"(?is)url\s*=\s*(\S+)", 1))
         .when(F.col("tag").rlike(r"""(?is)\bproperty\s*=\s*["']?og:url\b"""), content)
     )
-    links = tags.select("a", resolve(to, F.col("base")).alias("url")).select("a", canonical(F.col("url")).alias("b"), "url")
-    return links.where("a is not null and b is not null and b != '' and a != b").distinct()
+    named = cut(tags.select("a", resolve(to, F.col("base")).alias("url")).where("url is not null"))
+    return named.select("a", canonical(F.col("url")).alias("b"), "url").where("a is not null and b is not null and b != '' and a != b").distinct()
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -141,7 +153,7 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     """
     pages = pages.select(*need(pages, "page_id", "url", "html"))
     ruled = with_rule(pages, rules).withColumn("__key", canonical(F.col("url")))
-    named = link_edges(ruled)
+    named = cut(link_edges(pages.withColumn("__key", canonical(F.col("url")))))
     ends = named.select(F.col("b").alias("node"), "url")
     edges = named.select("a", "b")
     if redirects is not None:
