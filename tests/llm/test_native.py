@@ -219,3 +219,54 @@ def test_near_fingerprints_match_brute_force(spark):
     got = {(r.a, r.b, r.distance) for r in simhash.near_fingerprints(spark.createDataFrame([(t,) for t in texts] * 2, "fingerprint string")).collect()}
     want = {(a, b, d) for a in texts for b in texts if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
     assert got == want and want
+
+
+def classes_by_hand(values, radius=3):
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {v: find(v) for v in values}
+
+
+def test_near_classes_match_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = {v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for v in base for _ in range(5)}
+    dense = rng.getrandbits(64)
+    values |= {dense ^ sum(1 << b for b in rng.sample(range(0, 64, 3), rng.randrange(8))) for _ in range(150)}
+    rows = [(f"{v:016x}",) for v in values] * 2 + [(None,)]
+    got = {r.bits & (2**64 - 1): r["class"] & (2**64 - 1) for r in simhash.near_classes(spark.createDataFrame(rows, "fingerprint string")).collect()}
+    want = classes_by_hand(values)
+    groups = lambda by: {frozenset(v for v in by if by[v] == c) for c in set(by.values())}
+    assert groups(got) == {g for g in groups(want) if len(g) > 1}
+    assert simhash.near_classes(spark.createDataFrame([], "fingerprint string")).collect() == []
+
+
+def test_near_class_of_documents(spark):
+    rows = simhash.op5_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    by = classes_by_hand({int(r.fingerprint, 16) for r in rows})
+    least = {}
+    for r in rows:
+        c = by[int(r.fingerprint, 16)]
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    assert all(r.near_class == least[by[int(r.fingerprint, 16)]] for r in rows)
+    assert len(set(least.values())) < len(rows)
+
+
+def test_clustered_ids_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "UNEVEN", 0)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 10)
+    rows = [(i, f"text {i} {'x' * (i % 40)}", "en", "a", 0) for i in [*range(50), 10**9, 10**9 + 3, 10**15]]
+    got = simhash.compare_edited(frame(spark, rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(edited_by_hand(rows))

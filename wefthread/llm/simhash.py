@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, need
+from .common import components, cut, need
 
 BITS = 64
+#: Bits that near fingerprints differ in at most, and blocks of bits of the tables: 20 tables whose keys are about 32 bits.
+RADIUS, BLOCKS = 3, 6
+#: Rows of at most three longs that are broadcast; beyond, they are joined.
+MAX_SMALL = 1_000_000
 #: Terms counted in one set of packed counters: STRETCH * MAX_WEIGHT stays under 2**21.
 STRETCH, MAX_WEIGHT = 1 << 17, 8
 #: Rows of one bucket of neighbouring doc_ids; bounds what a window task sorts at once.
@@ -60,28 +64,71 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(as_long(a).bitwiseXOR(as_long(b))) / F.lit(float(BITS))
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def _some(df: DataFrame) -> DataFrame:
+    """``df``, a frame from ``cut``, broadcast where it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_SMALL else df
+
+
+def _masks(radius: int, blocks: int) -> list[int]:
+    """Permuted block tables: of ``blocks`` equal blocks of bits, at least ``blocks - radius`` agree in two fingerprints ``radius`` apart; a mask for each choice of that many."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in keep) for keep in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _tables(one: DataFrame, masks: list[int]) -> DataFrame:
+    """A row of each fingerprint for each table: t, the agreeing bits k, and all bits."""
+    table = F.array(*[F.struct(F.lit(i).alias("t"), F.col("bits").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])
+    return one.select("bits", F.explode(table).alias("x")).select("x.t", "x.k", "bits")
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b, distance): all pairs of different fingerprints at most ``radius`` bits apart, a < b.
 
-    Permuted block tables: of ``blocks`` equal blocks of bits, at least
-    ``blocks - radius`` agree in such a pair, so a table for each choice of that
-    many blocks, keyed by their bits, brings every pair together. A pair is kept
-    only in the first table in which it meets. Equal fingerprints are one row
-    here: copies cost nothing; ``prints`` joins the pairs back to its rows.
+    A pair is kept only in the first table in which it meets. Equal fingerprints are
+    one row here: copies cost nothing; ``prints`` joins the pairs back to its rows.
+    A dense cluster gives all its pairs: ``near_classes`` does without them.
     """
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     one = prints.select("fingerprint").where("fingerprint is not null").distinct().withColumn("bits", as_long(F.col("fingerprint")))
-    masks = []
-    for keep in combinations(range(blocks), blocks - radius):
-        m = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in keep)
-        masks.append(m - (1 << 64) if m >> 63 else m)
-    table = F.array(*[F.struct(F.lit(i).alias("t"), F.col("bits").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])
-    rows = one.select("fingerprint", "bits", F.explode(table).alias("x")).select("fingerprint", "bits", "x.t", "x.k")
+    masks = _masks(radius, blocks)
+    rows = _tables(one, masks)
     a, b = rows.alias("p"), rows.alias("q")
     apart = F.col("p.bits").bitwiseXOR(F.col("q.bits"))
     met = F.col("p.t") == F.array_min(F.array(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, i).otherwise(len(masks)) for i, m in enumerate(masks)]))
-    pairs = a.join(b, (F.col("p.t") == F.col("q.t")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.fingerprint") < F.col("q.fingerprint")) & (F.bit_count(apart) <= radius) & met)
-    return pairs.select(F.col("p.fingerprint").alias("a"), F.col("q.fingerprint").alias("b"), F.bit_count(apart).alias("distance"))
+    pairs = a.join(b, (F.col("p.t") == F.col("q.t")) & (F.col("p.k") == F.col("q.k")) & (as_hex("p.bits") < as_hex("q.bits")) & (_apart("p.bits", "q.bits") <= radius) & met)
+    return pairs.select(as_hex("p.bits").alias("a"), as_hex("q.bits").alias("b"), _apart("p.bits", "q.bits").alias("distance"))
+
+
+def as_hex(bits: str) -> Column:
+    return F.lower(F.lpad(F.hex(bits), 16, "0"))
+
+
+def near_classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(bits, class) of the fingerprints (as longs) that others are at most ``radius`` bits from; class: the least that links reach.
+
+    The block tables without their pairs: in each group of a table all are compared
+    with the least one, a row each. Groups whose members are not of one class by then
+    are compared in full, but only links between classes come out of that.
+    """
+    one = cut(prints.select(as_long(F.col("fingerprint")).alias("bits")).where("bits is not null").distinct())
+    rows = _tables(one, _masks(radius, blocks))
+    hubs = _some(cut(rows.groupBy("t", "k").agg(F.min("bits").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", "hub")))
+    grouped = cut(rows.join(hubs, ["t", "k"]))
+    links = cut(grouped.where((F.col("bits") != F.col("hub")) & (_apart("bits", "hub") <= radius)).select("bits", "hub").distinct())
+    first = cut(components(links, "bits", "hub").toDF("bits", "class"))
+    classed = grouped.join(_some(first), "bits", "left").select("t", "k", "bits", F.coalesce("class", "bits").alias("class"))
+    mixed = _some(cut(classed.groupBy("t", "k").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("t", "k")))
+    left = cut(classed.join(mixed, ["t", "k"], "left_semi"))
+    p, q = left.toDF("t", "k", "bits", "class"), left.toDF("t", "k", "bits2", "class2")
+    across = cut(p.join(q, ["t", "k"]).where((F.col("class") < F.col("class2")) & (_apart("bits", "bits2") <= radius)).select("class", "class2").distinct())
+    second = _some(cut(components(across, "class", "class2").toDF("class", "root")))
+    # classes of one fingerprint are in no component so far
+    named = first.union(across.select(F.explode(F.array("class", "class2")).alias("bits")).select("bits", F.col("bits").alias("class"))).distinct()
+    return named.join(second, "class", "left").select("bits", F.coalesce("root", "class").alias("class"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -102,7 +149,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     if most <= UNEVEN * BUCKET_ROWS:
         placed = docs.withColumn("b", even)
     else:  # ids in clusters: Spark samples the ranges
-        placed = docs.repartitionByRange(buckets, F.desc_nulls_last("doc_id")).withColumn("b", F.spark_partition_id())
+        # written, as another run of the sampling could cut them elsewhere
+        placed = cut(docs.repartitionByRange(buckets, F.desc_nulls_last("doc_id")).withColumn("b", F.spark_partition_id()))
     order = Window.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), "text")
     ahead = placed.select("b", "doc_id", "text", F.lead(F.struct("text")).over(order).alias("lead"), F.row_number().over(order).alias("n"))
     firsts = ahead.where("n = 1").select("b", "text")
@@ -116,7 +164,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     Edited: the last floor(n_chars / 3) code points make way for the first as many of
-    the next document, in descending doc_id. Null texts count as empty; repeated rows
+    the next document, in descending doc_id. near_class is the smallest doc_id whose
+    fingerprint links of at most RADIUS bits reach (null if none of them has one);
+    texts without words all have the fingerprint of zeros, and so one class. Null texts count as empty; repeated rows
     each have a row; an empty table gives an empty result; other columns are dropped.
     """
     texts = with_next(docs)
@@ -132,11 +182,15 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     firsts = rows.where("n = 1").select("b", "fingerprint")
     ring = Window.orderBy("b")
     after = firsts.select("b", F.coalesce(F.lead("fingerprint").over(ring), F.first("fingerprint").over(ring)).alias("first"))
-    out = rows.withColumn("following", F.lead("fingerprint").over(order)).join(after, "b")
+    classes = _some(cut(near_classes(rows)))
+    named = rows.withColumn("following", F.lead("fingerprint").over(order)).join(after, "b").withColumn("bits", as_long(F.col("fingerprint")))
+    named = cut(named.join(classes, "bits", "left").withColumn("class", F.coalesce("class", "bits")).drop("bits"))
+    least = cut(named.groupBy("class").agg(F.min("doc_id").alias("near_class")))
+    out = named.join(least, "class")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.coalesce("following", "first")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.coalesce("following", "first")).alias("near_next"), "near_class",
     )
 
 
