@@ -101,3 +101,27 @@ def test_guard_and_store(spark, tmp_path):
 def test_trace_dedup(spark):
     rows = [(1, [1, 2, 3]), (2, [1, 2]), (3, [1, 4, 3]), (4, [1, 4, 5, 3]), (5, [9, 8])]
     assert sorted(r.trace_id for r in graph.dedup_traces(spark.createDataFrame(rows, "trace_id long, path array<long>")).collect()) == [4, 5]
+
+
+def test_index_scores_as_the_texts_do(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "alphabet", "été", "x1"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12))) if i % 9 else None, rng.choice(words)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    search.write_index(docs, "doc_id", ["a", "b"], str(tmp_path / "index"))
+    index = search.read_index(spark, str(tmp_path / "index"), "long", ["a", "b"])
+    for query in ("alpha beta", "alpha OR ete", '"alpha beta"', "alph*", '"beta alph"*', "alpha NOT gamma", "a:alpha b:beta", '"alpha alpha alpha"', "nothing", "alpha OR (beta gamma) OR alpha"):
+        want = {r.doc_id: round(r.score, 9) for r in search.bm25(docs, "doc_id", ["a", "b"], query).collect()}
+        assert {r.id: round(r.score, 9) for r in search.bm25_indexed(index, query).collect()} == want, query
+    empty = str(tmp_path / "empty")
+    search.write_index(docs.limit(0), "doc_id", ["a", "b"], empty)
+    assert search.bm25_indexed(search.read_index(spark, empty, "long", ["a", "b"]), "alpha").collect() == []
+
+
+def test_fusion_with_and_without_words(spark):
+    hits = spark.createDataFrame([(1, 9.0), (2, 8.0)], "id long, score double")
+    near = spark.createDataFrame([(2, 0.9), (3, 0.8)], "id long, score double")
+    both = {r.id: r.score for r in search.hybrid(hits, near, "id", 10).collect()}
+    assert both == {1: 1 / 61, 2: 1 / 62 + 1 / 61, 3: 1 / 62}
+    assert [(r.id, r.score) for r in search.hybrid(hits.limit(0), near, "id", 10).collect()] == [(2, 0.9), (3, 0.8)]
+    assert [r.id for r in search.hybrid(hits, near.limit(0), "id", 10).collect()] == [1, 2]

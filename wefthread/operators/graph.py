@@ -121,24 +121,6 @@ def entry_scores(edges: DataFrame, name: Column | None = None) -> DataFrame:
     return out.join(into, "node", "full").select("node", F.when(dead, F.lit(0.0)).otherwise(score).alias("score"))
 
 
-def trace_paths(edges: DataFrame, entries: DataFrame, depth: int = 10, branching: int = 4) -> DataFrame:
-    """(entry, path): simple paths from entries(entry), each node going on to its first ``branching`` fresh neighbours.
-
-    edges(source, target, ord). A path ends at a leaf, where all neighbours are on it,
-    or past ``depth`` steps. One join and one window a level.
-    """
-    front = entries.select("entry", F.array("entry").alias("path"), F.col("entry").alias("node"))
-    ended = None
-    for d in range(depth):
-        grown = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("next"), "ord"), "node").where(~F.array_contains("path", F.col("next")))
-        kept = grown.withColumn("r", F.row_number().over(W.partitionBy("entry", "path").orderBy("ord"))).where(F.col("r") <= branching)
-        after = kept.select("entry", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("node"))
-        stopped = front.join(grown.select("entry", "path").distinct(), ["entry", "path"], "left_anti").select("entry", "path")
-        ended = stopped if ended is None else ended.union(stopped)
-        front = after
-    return ended.union(front.select("entry", "path"))
-
-
 def dedup_traces(traces: DataFrame) -> DataFrame:
     """Traces(trace_id, path) whose nodes are no proper part of another's; then the longest of each (first, last), the earliest on ties.
 
@@ -153,12 +135,14 @@ def dedup_traces(traces: DataFrame) -> DataFrame:
 
 
 def trace_paths_bounded(edges: DataFrame, entries: DataFrame, depth: int = 10, branching: int = 4, pops: int = 10_000) -> DataFrame:
-    """(entry, path, place): as ``trace_paths``, but an entry's walk ends after ``pops`` paths, nearest first.
+    """(entry, path, place): simple paths from entries(entry), nearest first, each node going on to its first ``branching`` fresh neighbours.
 
-    A path's number is its place in its level plus all earlier levels; equal paths
-    count once. Levels are cut from their lineage, and the walk stops at an empty one.
+    edges(source, target, ord). A path ends at a leaf, where all neighbours are on it,
+    or past ``depth`` steps; an entry's walk ends after ``pops`` paths. A path's number
+    is its place in its level plus all earlier levels; equal paths count once. Levels
+    are cut from their lineage, and the walk stops at an empty one.
     """
-    nbr = edges.groupBy(F.col("source").alias("node"), F.col("target").alias("next")).agg(F.min("ord").alias("ord"))
+    nbr = cut(edges.groupBy(F.col("source").alias("node"), F.col("target").alias("next")).agg(F.min("ord").alias("ord")))  # read at each level
     front = entries.select("entry", F.array("entry").alias("path"), F.col("entry").alias("node"), F.lit(1).cast("long").alias("place"))
     ended = []
     for d in range(depth + 1):

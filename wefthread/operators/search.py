@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wefthread.functions.text import MARKED, PLAIN, occurrences, tokens
@@ -132,11 +132,116 @@ def phrases(tree) -> list[Phrase]:
     return [p for part in tree.parts for p in phrases(part)]
 
 
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: postings(bucket, token, id, column, positions), lengths(id, d), and the corpus's rows and mean length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    columns: tuple[str, ...]
+    rows: int
+    mean: float
+
+
+#: Folders of postings by hash of the token: a query reads those of its words.
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, id_col: str, columns: list[str], folder: str) -> None:
+    """Writes the postings of ``docs`` to ``folder``: a row for each token, document and column, sorted by token in each bucket's files."""
+    toks = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(c) for c in columns])
+    toks.select("id", sum((F.size(c) for c in columns), F.lit(0)).alias("d")).write.parquet(f"{folder}/lengths")
+    each = [toks.select("id", F.lit(c).alias("column"), F.posexplode(c).alias("at", "token")) for c in columns]
+    flat = each[0]
+    for more in each[1:]:
+        flat = flat.union(more)
+    posted = flat.groupBy("token", "id", "column").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # no more places than a text has words
+    posted = posted.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+    # a frequent token's rows spread over tasks: the bucket alone would be one key
+    posted.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def read_index(spark, folder: str, id_type: str, columns: list[str]) -> Index:
+    lengths = spark.read.schema(f"id {id_type}, d int").parquet(f"{folder}/lengths")
+    postings = spark.read.schema(f"token string, id {id_type}, column string, positions array<int>, bucket int").parquet(f"{folder}/postings")
+    rows, mean = lengths.agg(F.count(F.lit(1)), F.avg("d")).first()
+    return Index(postings, lengths, tuple(columns), rows, mean or 0.0)
+
+
+def _less(i: int):
+    return lambda x: x - i
+
+
+def _counts(index: Index, p: Phrase, k: int) -> DataFrame:
+    """(id, f): how often phrase number k stands in each document that has it."""
+    post = index.postings if p.column is None else index.postings.where(F.col("column") == p.column)
+
+    def word(i: int) -> DataFrame:
+        w = p.words[i]
+        if p.prefix and i == len(p.words) - 1:
+            some = post.where(F.startswith("token", F.lit(w)))
+            if len(p.words) == 1:
+                return some.select("id", "column", "positions")
+            return some.groupBy("id", "column").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        bucket = F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int")
+        return post.where((F.col("bucket") == bucket) & (F.col("token") == w)).select("id", "column", "positions")
+
+    rows = word(0)
+    for i in range(1, len(p.words)):
+        after = word(i).withColumnRenamed("positions", "after")
+        met = F.array_intersect("positions", F.transform("after", _less(i)))
+        rows = rows.join(after, ["id", "column"]).select("id", "column", met.alias("positions")).where(F.size("positions") > 0)
+    return rows.groupBy("id").agg(F.sum(F.size("positions")).alias("f")).select("id", F.lit(k).alias("k"), "f")
+
+
+def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFrame:
+    """(id, score) as from ``bm25``, read from an index: only postings of the query's words, and the lengths of what they match.
+
+    Corpus statistics count all rows; ties go by id.
+    """
+    tree = parse(query, list(index.columns))
+    found = phrases(tree)
+    every = list(dict.fromkeys([*found, *_all(tree)]))
+    number = {p: i for i, p in enumerate(every)}
+    rows = None
+    for p, k in number.items():
+        own = _counts(index, p, k)
+        rows = own if rows is None else rows.union(own)
+    wide = rows.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("f"))), F.lit(0)).alias(f"__f{k}") for k in number.values()])
+    stats = wide.agg(*[F.count_if(F.col(f"__f{k}") > 0).alias(f"__n{k}") for k in number.values()])
+    f = {p: F.col(f"__f{k}") for p, k in number.items()}
+    hits = wide.where(_matches(tree, f)).join(index.lengths, "id").crossJoin(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for p in found:
+        score = score + _gain(f[p], F.col(f"__n{number[p]}"), F.lit(index.rows), F.col("d"), F.lit(index.mean))
+    out = hits.select("id", score.alias("score"))
+    return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
+
+
+def _gain(tf: Column, n: Column, rows: Column, d: Column, mean: Column) -> Column:
+    idf = F.log((rows - n + 0.5) / (n + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * d / mean))
+
+
+def _matches(t, f: dict) -> Column:
+    if isinstance(t, Phrase):
+        return f[t] > 0
+    if isinstance(t, Without):
+        return _matches(t.left, f) & ~_matches(t.right, f)
+    out = None
+    for part in t.parts:
+        m = _matches(part, f)
+        out = m if out is None else (out & m if isinstance(t, Both) else out | m)
+    return out
+
+
 def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str, keep: Column | None = None, limit: int | None = None) -> DataFrame:
     """(id_col, score) of the rows that match, best first in ``limit``; ties by id.
 
-    Corpus statistics count all rows, ``keep`` filters results only. Counts are made
-    row by row where the text is read; only one row of statistics is sent around.
+    For tables without an index, as a store's symbols, whose texts are short. Corpus
+    statistics count all rows, ``keep`` filters results only. Counts are made row by
+    row where the text is read; only one row of statistics is sent around.
     """
     tree = parse(query, columns)
     found = phrases(tree)
@@ -150,27 +255,11 @@ def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str, keep: Col
     others = [p for p in _all(tree) if p not in every]
     f = {p: f"__f{i}" for i, p in enumerate([*every, *others])}
     rows = rows.select(id_col, "__keep", sum((F.size(t) for t in bare.values()), F.lit(0)).alias("__d"), *[count(p).alias(n) for p, n in f.items()])
-
-    def matches(t) -> Column:
-        if isinstance(t, Phrase):
-            return F.col(f[t]) > 0
-        if isinstance(t, Without):
-            return matches(t.left) & ~matches(t.right)
-        out = None
-        for part in t.parts:
-            m = matches(part)
-            out = m if out is None else (out & m if isinstance(t, Both) else out | m)
-        return out
-
     stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("__d").alias("__avg"), *[F.count_if(F.col(f[p]) > 0).alias(f"__n{f[p]}") for p in every])
-    hits = rows.where(matches(tree) & F.col("__keep")).crossJoin(F.broadcast(stats))  # one row
+    hits = rows.where(_matches(tree, {p: F.col(n) for p, n in f.items()}) & F.col("__keep")).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for p in found:
-        n = F.col(f"__n{f[p]}")
-        idf = F.log((F.col("__n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        tf = F.col(f[p])
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__d") / F.col("__avg")))
+        score = score + _gain(F.col(f[p]), F.col(f"__n{f[p]}"), F.col("__n"), F.col("__d"), F.col("__avg"))
     out = hits.select(id_col, score.alias("score"))
     return out.orderBy(F.desc("score"), id_col).limit(limit) if limit else out
 
@@ -198,20 +287,23 @@ def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[
     return rows.orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def ranked(hits: DataFrame, id_col: str, name: str) -> DataFrame:
+def ranked(hits: DataFrame, id_col: str, name: str, *more: str) -> DataFrame:
     """Places from 0 of at most CANDIDATES hits: sorted in one task, as they are so few."""
-    from pyspark.sql import Window
-
-    return hits.select(id_col, (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).alias(name))
+    return hits.select(id_col, *more, (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).alias(name))
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, id_col: str, limit: int) -> DataFrame:
-    """Reciprocal rank fusion of two bounded lists; without text hits the vector scores stand."""
-    if not text_hits.limit(1).count():
-        return vector_hits.orderBy(F.desc("score"), id_col).limit(limit)
-    a, b = ranked(text_hits, id_col, "__a"), ranked(vector_hits, id_col, "__b")
+    """Reciprocal rank fusion of two bounded lists; without text hits the vector scores stand.
+
+    Both lists go into one aggregate, so that neither is evaluated twice, not even to learn that the first is empty.
+    """
+    place = F.lit(None).cast("int")
+    a = ranked(text_hits, id_col, "__a").select(id_col, "__a", place.alias("__b"), F.lit(None).cast("double").alias("__score"))
+    b = ranked(vector_hits.select(id_col, F.col("score").cast("double").alias("score")), id_col, "__b", "score").select(id_col, place.alias("__a"), "__b", F.col("score").alias("__score"))
     part = lambda c: F.coalesce(1.0 / (F.lit(RRF_K + 1) + F.col(c)), F.lit(0.0))
-    return a.join(b, id_col, "full").select(id_col, (part("__a") + part("__b")).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    both = a.union(b).groupBy(id_col).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"), F.max("__score").alias("__score"))
+    empty = F.max("__a").over(Window.partitionBy(F.lit(1))).isNull()  # a hundred rows
+    return both.select(id_col, F.when(empty, F.col("__score")).otherwise(part("__a") + part("__b")).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def grouped(hits: DataFrame, id_col: str, steps: DataFrame) -> tuple[DataFrame, DataFrame]:

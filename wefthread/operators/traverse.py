@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGE_KINDS = ("IMPORTS", "CALLS", "CALLS_UNRESOLVED", "CALLS_EXTERNAL", "EXTENDS", "IMPLEMENTS", "DEFINES", "CONTAINS")
@@ -23,10 +22,21 @@ def neighbours(edges: DataFrame, direction: str, min_confidence: float = 0.0, ki
     return e.select(F.col(a).alias("id"), F.col(b).alias("next"), "confidence", "kind")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; only on one machine may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return "/tmp/checkpoints/wefthread-engine"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/wefthread")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -35,18 +45,20 @@ def impact(edges: DataFrame, starts: DataFrame, direction: str = "upstream", dep
 
     Breadth first; the first visit wins: within a level the earlier parent, then the
     higher confidence, then the kind. Starts themselves are left out. Each level is
-    one join, one window by (origin, node) and an anti-join with what was seen.
+    one join, one aggregate by (origin, node) and an anti-join with what was seen. A
+    node's place in its level is the ids on its way there: places compare as in a
+    queue, and no task sorts an origin's whole frontier to number it.
     """
     step = neighbours(edges, direction, min_confidence, ["CALLS"] if calls_only else None)
-    front = starts.select("origin_id", F.col("origin_id").alias("id"), F.lit(1).cast("long").alias("place"))
+    front = starts.select("origin_id", F.col("origin_id").alias("id"), F.array().cast("array<bigint>").alias("place"))
     seen = front.select("origin_id", "id")
     levels = []
     for d in range(1, depth + 1):
         reached = front.join(step, "id").select("origin_id", F.col("next").alias("id"), "place", "confidence", "kind")
         new = reached.join(seen, ["origin_id", "id"], "left_anti")
         best = new.groupBy("origin_id", "id").agg(F.min(F.struct("place", (-F.col("confidence")).alias("c"), "kind")).alias("b"))
-        order = W.partitionBy("origin_id").orderBy("b.place", "id")
-        level = best.select("origin_id", "id", F.lit(d).alias("depth"), (-F.col("b.c")).alias("confidence"), F.col("b.kind").alias("kind"), F.row_number().over(order).cast("long").alias("place"))
+        place = F.concat("b.place", F.array(F.col("id").cast("long"))).alias("place")
+        level = best.select("origin_id", "id", F.lit(d).alias("depth"), (-F.col("b.c")).alias("confidence"), F.col("b.kind").alias("kind"), place)
         if d > LAZY:
             level = cut(level)
             if not level.limit(1).count():
@@ -71,11 +83,6 @@ def summarise(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return agg.select("origin_id", "total", "direct", risk(F.col("total"), F.col("direct"), F.coalesce("__e", F.lit(False))).alias("risk"))
 
 
-def summary_text(name: Column, direction: Column, total: Column, direct: Column, modules: Column, processes: Column, level: Column) -> Column:
-    more = F.concat(F.when(modules > 0, F.concat(F.lit(" in "), modules.cast("string"), F.lit(" module(s)"))).otherwise(""), F.when(processes > 0, F.concat(F.lit(" and "), processes.cast("string"), F.lit(" process(es)"))).otherwise(""))
-    return F.concat(F.lit("Changing "), name, F.lit(" ("), direction, F.lit(") affects "), total.cast("string"), F.lit(" symbol(s) ("), direct.cast("string"), F.lit(" direct)"), more, F.lit(". Risk: "), level, F.lit("."))
-
-
 def subgraph(edges: DataFrame, start_id: int, direction: str = "outgoing", depth: int = 3, kinds: list[str] | None = None, max_nodes: int | None = None) -> DataFrame:
     """(id, depth) within ``depth`` of the start, itself at 0; ``both`` unites the two directed walks.
 

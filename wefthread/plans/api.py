@@ -135,8 +135,11 @@ class Graph:
         named = lambda df, key, label: df.join(reached.select("origin_id", "id").distinct(), "id").select("origin_id", key, label).distinct().orderBy("origin_id", key).collect()
         in_modules, in_processes = named(modules, "community_id", "module"), named(steps, "process_id", "process")
         out = []
+        by_origin: dict[int, list] = {}
+        for r in rows:
+            by_origin.setdefault(r.origin_id, []).append(r)
         for s in starts:
-            own = [r for r in rows if r.origin_id == s["id"]]
+            own = by_origin.get(s["id"], [])
             levels: dict[int, list[dict]] = {}
             for r in own:
                 levels.setdefault(r.depth, []).append({c: r[c] for c in (*FIELDS, "confidence")})

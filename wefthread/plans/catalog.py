@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wefthread.functions.text import MARKED, PLAIN
 from wefthread.operators import evaluate, graph, resolve, search, traverse
 from wefthread.plans import driver_views as v
-from wefthread.plans import resolution
+from wefthread.plans import ingest, resolution, stored
 from wefthread.sources import store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,11 @@ def ordered_steps(spark, sf):
 # --- search ------------------------------------------------------------------
 
 
+def _bm25_term(i: int) -> str:
+    idf = f"ln((n - n{i} + 0.5) / (n{i} + 0.5))"
+    return f"(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avgd))"
+
+
 def _bm25_sql(phrases: list[tuple[list[str], bool]], where: str, limit: int = 50) -> str:
     toks = {c: f"regexp_extract_all(translate(lower({c}), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')" for c in ("text", "lang", "source")}
 
@@ -147,16 +152,14 @@ def _bm25_sql(phrases: list[tuple[list[str], bool]], where: str, limit: int = 50
 
     f = ", ".join(f"{' + '.join(hits(c, w, p) for c in toks)} AS f{i}" for i, (w, p) in enumerate(phrases))
     n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(phrases)))
-    idf = lambda i: f"ln((n - n{i} + 0.5) / (n{i} + 0.5))"
-    score = " + ".join(f"(CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / avgd))" for i in range(len(phrases)))
+    score = " + ".join(_bm25_term(i) for i in range(len(phrases)))
     return f"""WITH t AS (SELECT doc_id, {', '.join(f"coalesce({x}, []) AS t_{c}" for c, x in toks.items())} FROM documents),
 x AS (SELECT doc_id, {' + '.join(f'len(t_{c})' for c in toks)} AS d, {f} FROM t), st AS (SELECT count(*) AS n, avg(d) AS avgd, {n} FROM x)
 SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, {score} AS score FROM x, st WHERE {where}) y ORDER BY y.score DESC, doc_id LIMIT {limit}"""
 
 
 def _bm25(spark, sf, text, limit=50):
-    hits = search.bm25(v.table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id", ["text", "lang", "source"], text, limit=limit)
-    return hits.withColumn("score", F.round("score", 6))
+    return search.bm25_indexed(v.text_index(spark, sf), text, limit).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql([(["that"], False), (["eres"], False)], "f0 > 0 AND f1 > 0"))
@@ -174,6 +177,18 @@ def bm25_phrase(spark, sf):
     return _bm25(spark, sf, '"of the"')
 
 
+@query(_bm25_sql([(["that"], False), (["eres"], False)], "f0 > 0 AND f1 > 0"))
+def bm25_scanned(spark, sf):
+    """As bm25_and, from the texts themselves: what a table without an index gets."""
+    hits = search.bm25(v.table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id", ["text", "lang", "source"], "that eres", limit=50)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(_bm25_sql([(["of", "the"], True), (["that"], False)], "f0 > 0 AND NOT f1 > 0").replace(_bm25_term(1), "0"))
+def bm25_phrase_prefix_not(spark, sf):
+    return _bm25(spark, sf, '"of the"* NOT that')
+
+
 @query(_bm25_sql([(["hand"], True), (["the"], False)], "f0 > 0 AND f1 > 0"))
 def bm25_prefix(spark, sf):
     return _bm25(spark, sf, "hand* the")
@@ -326,20 +341,82 @@ def entry_scores(spark, sf):
     return graph.entry_scores(_calls(spark, sf)).select("node", F.round("score", 6).alias("score"))
 
 
-_TRACE_SQL = f"""{v.WITH}, c AS (SELECT source_id AS s, target_id AS t FROM e WHERE kind = 'CALLS'), en AS (SELECT s AS entry FROM c GROUP BY 1 ORDER BY count(*) DESC, s LIMIT 200),
-p0 AS (SELECT entry, [entry] AS path FROM en),
-g1 AS (SELECT entry, path, t, row_number() OVER (PARTITION BY entry, path ORDER BY t) AS r FROM p0 JOIN c ON s = path[-1] WHERE NOT list_contains(path, t)), p1 AS (SELECT entry, list_append(path, t) AS path FROM g1 WHERE r <= 4),
-g2 AS (SELECT entry, path, t, row_number() OVER (PARTITION BY entry, path ORDER BY t) AS r FROM p1 JOIN c ON s = path[-1] WHERE NOT list_contains(path, t)), p2 AS (SELECT entry, list_append(path, t) AS path FROM g2 WHERE r <= 4),
-g3 AS (SELECT entry, path, t, row_number() OVER (PARTITION BY entry, path ORDER BY t) AS r FROM p2 JOIN c ON s = path[-1] WHERE NOT list_contains(path, t)), p3 AS (SELECT entry, list_append(path, t) AS path FROM g3 WHERE r <= 4)
-SELECT entry, array_to_string(path, '>') AS path FROM (SELECT * FROM p3 UNION ALL SELECT entry, path FROM p2 WHERE (entry, path) NOT IN (SELECT (entry, path) FROM g3) UNION ALL SELECT entry, path FROM p1 WHERE (entry, path) NOT IN (SELECT (entry, path) FROM g2) UNION ALL SELECT entry, path FROM p0 WHERE (entry, path) NOT IN (SELECT (entry, path) FROM g1)) z"""
+def _trace_ctes(depth: int = 10, branching: int = 4, pops: int = 10_000) -> str:
+    """CTEs up to ``ended(entry, path, place)`` of the bounded walk: level by level, a window for the choice and one for the places."""
+    ctes = [v.WITH, "c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE kind = 'CALLS')", "en AS (SELECT source_id AS entry FROM e WHERE kind = 'CALLS' GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 200)"]
+    ctes.append("p0 AS (SELECT entry, [entry] AS path, 1 AS place FROM en)")
+    for d in range(depth):
+        ctes.append(f"g{d} AS (SELECT entry, path, place, t, row_number() OVER (PARTITION BY entry, place ORDER BY t) AS r FROM p{d} JOIN c ON s = path[-1] WHERE NOT list_contains(path, t))")
+        ctes.append(f"p{d + 1} AS (SELECT * FROM (SELECT g.entry, list_append(path, t) AS path, last + row_number() OVER (PARTITION BY g.entry ORDER BY place, r) AS place FROM g{d} g JOIN (SELECT entry, max(place) AS last FROM p{d} GROUP BY 1) m ON m.entry = g.entry WHERE r <= {branching}) x WHERE place <= {pops})")
+    parts = [f"SELECT p.* FROM p{d} p LEFT JOIN (SELECT DISTINCT entry, place FROM g{d}) g ON g.entry = p.entry AND g.place = p.place WHERE g.entry IS NULL" for d in range(depth)]
+    ctes.append(f"ended AS ({' UNION ALL '.join([*parts, f'SELECT * FROM p{depth}'])})")
+    return ", ".join(ctes)
 
 
-@query(_TRACE_SQL)
-def trace_paths(spark, sf):
+def _traces(spark, sf):
+    """The paths of the shipped walk from the 200 parts that call most, to depth 10."""
     c = _calls(spark, sf)
     entries = c.groupBy("source").count().orderBy(F.desc("count"), "source").limit(200).select(F.col("source").alias("entry"))
-    paths = graph.trace_paths(c.withColumn("ord", F.col("target")), entries, 3, 4)
-    return paths.select("entry", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return graph.trace_paths_bounded(c.withColumn("ord", F.col("target")), entries)
+
+
+def _joined(path):
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ">").alias("path")
+
+
+@query(f"{_trace_ctes()} SELECT entry, array_to_string(path, '>') AS path, CAST(place AS BIGINT) AS place FROM ended")
+def trace_paths(spark, sf):
+    return _traces(spark, sf).select("entry", _joined("path"), F.col("place").cast("long").alias("place"))
+
+
+_DEDUP = f"""{_trace_ctes()}, t AS (SELECT entry, path, place, entry * 100000 + place AS trace_id FROM ended),
+h AS (SELECT path AS other, unnest(path) AS node, len(path) AS m FROM t),
+inside AS (SELECT DISTINCT trace_id FROM t JOIN h ON node = path[1] WHERE m > len(path) AND list_has_all(other, path)),
+kept AS (SELECT t.* FROM t LEFT JOIN inside i USING (trace_id) WHERE i.trace_id IS NULL QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, trace_id) = 1)"""
+
+
+@query(f"{_DEDUP} SELECT trace_id, array_to_string(path, '>') AS path FROM kept")
+def dedup_traces(spark, sf):
+    t = _traces(spark, sf).select("path", (F.col("entry") * 100_000 + F.col("place")).alias("trace_id"))
+    return graph.dedup_traces(t).select("trace_id", _joined("path"))
+
+
+_NAMES = """concat('Function:src/', id % 7, '.ts:', CASE WHEN id % 5 = 0 THEN 'handle' WHEN id % 5 = 1 THEN 'get' ELSE 'step' END, id, ':', id)"""
+
+
+def _processes(spark, sf):
+    """Process assembly on named parts: brands as communities."""
+    uid = lambda col: F.expr(_NAMES.replace("id %", f"{col} %").replace(", id", f", {col}"))
+    c = v.edges(spark, sf).where("kind = 'CALLS'").select(uid("source_id").alias("source"), uid("target_id").alias("target"), "confidence", F.col("target_id").alias("ord"))
+    n = v.nodes(spark, sf).where("kind = 'Function'")
+    symbols = n.select(uid("id").alias("uid"), "id", F.element_at(F.split(uid("id"), ":"), -2).alias("name"))
+    members = n.select(F.substr("parent_name", F.lit(7)).cast("long").alias("community_id"), F.col("id").alias("symbol_id"))
+    return ingest.process_rows(c, symbols, members)
+
+
+_PROCESSES = (
+    _trace_ctes()
+    .replace("c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE kind = 'CALLS')", "c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM e WHERE kind = 'CALLS' AND confidence >= 0.5)")
+    .replace(
+        "en AS (SELECT source_id AS entry FROM e WHERE kind = 'CALLS' GROUP BY 1 ORDER BY count(*) DESC, source_id LIMIT 200)",
+        f"""sc AS (SELECT id, coalesce(a, 0) / (coalesce(b, 0) + 1) * CASE id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 0.3 ELSE 1.0 END AS score, {_NAMES} AS uid FROM (SELECT source_id AS id, count(*) AS a FROM e WHERE kind = 'CALLS' AND confidence >= 0.5 GROUP BY 1) o FULL JOIN (SELECT target_id AS id, count(*) AS b FROM e WHERE kind = 'CALLS' AND confidence >= 0.5 GROUP BY 1) i USING (id)),
+en AS (SELECT id AS entry, score, uid FROM sc WHERE score > 0 ORDER BY score DESC, uid LIMIT 200)""",
+    )
+    + f""", t AS (SELECT x.entry, x.path, en.score, row_number() OVER (ORDER BY en.score DESC, en.uid, x.place) AS trace_id FROM ended x JOIN en ON en.entry = x.entry),
+h AS (SELECT path AS other, unnest(path) AS node, len(path) AS m FROM t), inside AS (SELECT DISTINCT trace_id FROM t JOIN h ON node = path[1] WHERE m > len(path) AND list_has_all(other, path)),
+kept AS (SELECT t.* FROM t LEFT JOIN inside i USING (trace_id) WHERE i.trace_id IS NULL QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, trace_id) = 1),
+top AS (SELECT row_number() OVER (ORDER BY len(path) DESC, score DESC, trace_id) AS pid, * FROM kept WHERE len(path) >= {ingest.MIN_STEPS}),
+lim AS (SELECT * FROM top WHERE pid <= (SELECT least(greatest(CAST(floor(count(*) / 10) AS BIGINT), {ingest.FEWEST}), {ingest.MOST}) FROM nd WHERE kind = 'Function')),
+st AS (SELECT pid, score, len(path) AS n, unnest(path) AS node, unnest(range(len(path))) AS step FROM lim), nm AS (SELECT st.*, string_split({_NAMES.replace("id %", "node %").replace(", id", ", node")}, ':')[3] AS name, nd.parent_name FROM st JOIN nd ON nd.id = node)
+SELECT pid AS id, concat(arg_min(name, step), ' → ', arg_max(name, step)) AS label, CASE WHEN count(DISTINCT parent_name) > 1 THEN 'cross_community' ELSE 'intra_community' END AS process_type, round(any_value(score), 6) AS priority, any_value(n) AS step_count, string_agg(node, '>' ORDER BY step) AS steps FROM nm GROUP BY 1"""
+)
+
+
+@query(_PROCESSES)
+def process_assembly(spark, sf):
+    processes, steps = _processes(spark, sf)
+    lists = steps.groupBy(F.col("process_id").alias("id")).agg(_joined(F.transform(F.sort_array(F.collect_list(F.struct("step_index", "symbol_id"))), lambda x: x["symbol_id"])).alias("steps"))
+    return processes.join(lists, "id").select(F.col("id").cast("long").alias("id"), "label", "process_type", F.round("priority", 6).alias("priority"), "step_count", "steps")
 
 
 @query()
@@ -373,8 +450,8 @@ def graph_sql_join(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | resolution.QUERIES
+    return _QUERIES | resolution.QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | resolution.SQL
+    return _SQL | resolution.SQL | stored.SQL

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wefthread.operators import search
+from wefthread.operators.traverse import shared_folder
+
 BASE = 10_000_000
+_MADE: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,7 +49,34 @@ UNION ALL SELECT CAST({3 * BASE} + l_suppkey AS BIGINT), CAST({5 * BASE} + l_par
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Containment, parts bought together, and parts that a supplier sells again."""
+    """Containment, parts bought together, and parts that a supplier sells again.
+
+    Written once a session, as a store's edges are: a walk reads them at each level.
+    """
+    folder = once(spark, sf, "edges", lambda to: _made(spark, sf).write.parquet(to))
+    return spark.read.schema("source_id long, target_id long, kind string, confidence double").parquet(folder)
+
+
+def text_index(spark: SparkSession, sf: str) -> search.Index:
+    """The inverted index of ``documents``, written once a session."""
+    columns = ["text", "lang", "source"]
+    folder = once(spark, sf, "postings", lambda to: search.write_index(table(spark, sf, "documents").select("doc_id", *columns), "doc_id", columns, to))
+    return search.read_index(spark, folder, "long", columns)
+
+
+def once(spark: SparkSession, sf: str, what: str, write: Callable[[str], None]) -> str:
+    """The folder of what ``write`` makes of the tables at ``sf``, made once a session in the shared folder; it goes with the session."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _MADE:
+        folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        write(folder)
+        _MADE[key] = folder
+    return _MADE[key]
+
+
+def _made(spark: SparkSession, sf: str) -> DataFrame:
     sql = EDGES_SQL
     for name in ("nation", "supplier", "customer", "lineitem"):
         table(spark, sf, name).createOrReplaceTempView(f"weft_{name}")
