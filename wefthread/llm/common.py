@@ -23,18 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a query of ``cut`` runs with: it deletes its shuffle files when it is over, not when the driver happens to
+#: collect its garbage; and few rows at a time go to Python, as texts and sets of words are long.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager
-def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """A query that is run here deletes its shuffle files when it is over, not when the driver happens to collect its garbage."""
-    was = spark.conf.get(_FREES)
-    spark.conf.set(_FREES, "true")
+def sparing(spark: SparkSession) -> Iterator[None]:
+    was = {key: spark.conf.get(key) for key in _SETTINGS}
     try:
+        for key, value in _SETTINGS.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(_FREES, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    with freeing_shuffles(spark):
+    with sparing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

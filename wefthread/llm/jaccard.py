@@ -42,11 +42,11 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Common shingles that the order knows, at most: 16 bytes each are broadcast.
 MAX_COMMON = 1_000_000
 #: Shingles of documents that are counted together, and the count there from which one is reported.
-STRETCH, OFTEN = 1_500_000, 2
+STRETCH, OFTEN = 1_000_000, 2
 #: Prefixes are lengthened by at most MAX_MATCH - 1. A posting's bytes; other sets that a shingle not known as common brings, on average.
 MAX_MATCH, POSTING, UNKNOWN = 8, 16, 0.05
 #: Postings that a map task packs at once; postings of a block of shingles on average.
-PACK, BLOCK_POSTINGS = 500_000, 400_000
+PACK, BLOCK_POSTINGS = 300_000, 200_000
 #: Sets of a list that still gives its pairs, no more than 5.5 for each set of it.
 SHORT = 12
 #: Sets of a list whose sizes and places are compared one by one, in place, before it gives rows.
