@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import need
+from .common import need, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Encodings of pieces that a Python worker keeps, twice: a full table becomes the old one, from which pieces in use return.
@@ -275,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    return docs.select(*need(docs, "doc_id", "text")).mapInArrow(run, schema)
+    return docs.select(*need(docs, "doc_id", "text")).mapInArrow(trimmed(run), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,26 @@ def sparing(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def _release() -> None:
+    """Give freed memory back to the system: a Python worker is kept for the tasks after, and what it holds adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """A function for mapInArrow that leaves no freed memory behind in its worker."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: no lineage, and safe from lost executors.
 

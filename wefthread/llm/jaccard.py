@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, cut, need
+from .common import components, cut, need, trimmed
 
 WORDS = 5
 #: Similarity as a ratio of integers.
@@ -419,7 +419,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(*need(docs, "doc_id", "text"))
     long = "doc_id long, n long, k1 long, k2 long, shingle long, seen long"
-    described = cut(docs.mapInArrow(_describe, long))
+    described = cut(docs.mapInArrow(trimmed(_describe), long))
     rows = described.where("k1 is not null").select("doc_id", "n", "k1", "k2")
     common = described.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(MAX_COMMON).toArrow()
     order = Order(common["shingle"].to_numpy().view(np.uint64), common["seen"].to_numpy())
@@ -428,8 +428,8 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, int(postings // BLOCK_POSTINGS) + 1)
 
-    posted = docs.mapInArrow(_post(order, blocks), "block long, postings binary").repartition(blocks, "block")
-    met = posted.mapInArrow(_pairs, _PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("least").alias("least"), F.max(F.col("c").isNull()).alias("star"))
+    posted = docs.mapInArrow(trimmed(_post(order, blocks)), "block long, postings binary").repartition(blocks, "block")
+    met = posted.mapInArrow(trimmed(_pairs), _PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("least").alias("least"), F.max(F.col("c").isNull()).alias("star"))
     reach = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     goes_on = (F.col("c") >= F.col("least")) & ((NUMERATOR + DENOMINATOR) * reach >= NUMERATOR * (F.col("na") + F.col("nb")))
     met = met.where(F.col("star") | goes_on)
@@ -438,7 +438,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = cut(stars.join(nodes, "key").select("hub", "key", "doc", (F.col("hub") == F.col("key")).alias("is_hub"), "n"))
 
     chosen = cut(members.select("doc").distinct())
-    sets = docs.join(_some(chosen), docs["doc_id"] == chosen["doc"], "left_semi").mapInArrow(_ordered(order), "doc long, key long, prefix int, match int, tokens binary")
+    sets = docs.join(_some(chosen), docs["doc_id"] == chosen["doc"], "left_semi").mapInArrow(trimmed(_ordered(order)), "doc long, key long, prefix int, match int, tokens binary")
 
     blocks_of = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
     # groups of more than one part: few, so that no group's rows meet in one task to learn of it
@@ -451,7 +451,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def solve(where: DataFrame, star: bool) -> DataFrame:
         with_sets = sets.join(_some(where), ["doc", "key"]).select("hub", "i", "j", "is_hub", "loose", "doc", "key", "prefix", "match", "tokens")
         sorted_ = with_sets.repartition(max(parts, 1), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "doc")
-        return cut(sorted_.mapInArrow(_by_group(star), "hub long, a long, b long"))
+        return cut(sorted_.mapInArrow(trimmed(_by_group(star)), "hub long, a long, b long"))
 
     found = solve(cut(placed.withColumn("j", F.lit(0)).withColumn("loose", F.lit(False))), True)
     links = found.where("b is not null").select("a", "b")
