@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import need
+from .common import need, trimmed
 from .pii import digest
 
 KINDS = ("assign", "access", "hex")
@@ -34,6 +34,8 @@ AROUND, INSIDE = 28, 64
 MIN_LENGTH = 16
 RECALL = 0.95
 FINDINGS, EPOCHS, SEED = 3000, 12, 10
+#: Rows that are redacted at a time.
+ROWS = 1000
 _EMBED, _FILTERS, _WIDTH = 8, 24, 5
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -333,7 +335,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", network: CharacterNetwork |
     at, size = names.index("text"), names.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = batch.column(at).to_pylist()
             found = scan([t or "" for t in texts], network)
             changed = [i for i, spans in enumerate(found) if spans]
@@ -350,7 +352,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", network: CharacterNetwork |
             columns[at], columns[size] = pa.array(texts, batch.schema.field(at).type), pa.array(counts, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
