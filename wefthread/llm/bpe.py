@@ -241,13 +241,14 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False, forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``, the little-endian bytes, with ``keep_ids``) of every row.
 
     ``path`` is the vocabulary's place on every executor. The ids are decoded again
     and hashed. Null texts count as empty; repeated rows each have a row; an empty
     table gives an empty result; other columns are dropped. Rows stay in their
-    partitions: nothing is shuffled.
+    partitions: nothing is shuffled. With ``forget`` a worker keeps no encoder after
+    a task, so that other steps of the session have its memory.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
@@ -259,6 +260,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
+        if forget:
+            _ENCODERS.clear()
         for batch in parts(batches):
             n, a, b, kept = [], [], [], []
             for text in batch.column(1):

@@ -26,8 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: What a query of ``cut`` runs with: it deletes its shuffle files when it is over, not when the driver happens to
-#: collect its garbage; and few rows at a time go to Python, as texts and sets of words are long.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: collect its garbage; and few rows and bytes at a time go to Python, as texts and sets of words are long.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+#: Of every open ``dropping``, the folders cut since.
+_FOLDERS: list[list[str]] = []
 
 
 @contextmanager
@@ -42,6 +48,25 @@ def sparing(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """At the end, what ``cut`` wrote within goes: for a result that is written by then."""
+    folders: list[str] = []
+    _FOLDERS.append(folders)
+    try:
+        yield
+    finally:
+        _FOLDERS[:] = [f for f in _FOLDERS if f is not folders]
+        for path in folders:
+            delete(spark, path)
+
+
 def _release() -> None:
     """Give freed memory back to the system: a Python worker is kept for the tasks after, and what it holds adds up."""
     pa.default_memory_pool().release_unused()
@@ -65,13 +90,15 @@ def trimmed(run):
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: no lineage, and safe from lost executors.
 
-    Its shuffle files go at once, the files written when the session's JVM ends.
+    Its shuffle files go at once, the files written at the end of ``dropping`` around it or else when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _FOLDERS:
+        _FOLDERS[-1].append(path)
     with sparing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,9 +108,9 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame from ``cut`` that nothing reads any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        if where.getName().startswith("cut-"):
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        path = file.rsplit("/", 1)[0]
+        if path.rsplit("/", 1)[-1].startswith("cut-"):
+            delete(spark, path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
