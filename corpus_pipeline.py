@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wefthread.llm import bpe, jaccard, mixing, quality, secret_scan
-from wefthread.llm.common import shared_folder
+from wefthread.llm.common import delete, dropping, shared_folder, sparing
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, as little-endian bytes, with their digests."""
-    return bpe.encode_documents(docs, keep_ids=True)
+    return bpe.encode_documents(docs, keep_ids=True, forget=True)
 
 
 STAGES = [
@@ -54,13 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written to the shared folder and read again."""
+    """The stages on ``documents``, each written to the shared folder and read again; what a stage read goes when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}")
+        with dropping(spark), sparing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+        if k:
+            delete(spark, f"{base}/{k - 1}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.octet_length("ids").cast("long").alias("n_bytes"))
