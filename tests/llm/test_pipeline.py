@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, stage by stage, and as a whole."""
 
 import hashlib
+import os
 
 import numpy as np
 import public_tokenizers as P
@@ -8,7 +9,7 @@ import tiktoken
 from .test_jaccard import brute
 
 import corpus_pipeline
-from wefthread.llm import bpe, mixing, quality
+from wefthread.llm import bpe, common, mixing, quality, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +59,47 @@ def test_take_repeated_rows(spark):
     want = sum(r.copies if r.size else 1 for r in mixing.mix(docs).collect())
     assert len(got) == want and sum(r.doc_id == 2 for r in got) == 1
     assert mixing.take(docs.limit(0)).collect() == []
+
+
+def redacted(text, network):
+    parts, end = [], 0
+    for s, e, _, _ in secret_scan.scan([text], network)[0]:
+        if s >= end:
+            parts += [text[end:s], "[SECRET]"]
+        end = max(end, e)
+    return "".join(parts) + text[end:]
+
+
+def test_run_odd_rows(spark, tmp_path):
+    """Nulls in any column, blank and repeated rows, an empty table; nothing left behind but the result."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = base.columns
+    some = [tuple(r) for r in base.collect()]
+    one = dict(zip(names, some[0]))
+    odd = [tuple({**one, **change}[c] for c in names) for change in ({"doc_id": None}, {"doc_id": 90001, "text": None}, {"doc_id": 90002, "text": "", "source": None}, {"doc_id": 90003, "lang": None, "n_chars": None}, {"doc_id": 90004, "text": one["text"] * 50})]
+    docs = spark.createDataFrame(some + some[:10] + odd, base.schema)
+    for name, rows in (("odd", docs), ("empty", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    folder = common.shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and os.listdir(f"{folder}/{new.pop()}") == ["4"]
+    text = {}
+    for r in docs.collect():
+        text.setdefault(r.doc_id, set()).add(r.text or "")
+    network = secret_scan.model()
+    digests = {i: {hashlib.sha256(redacted(t, network).encode()).hexdigest() for t in ts} for i, ts in text.items()}
+    assert got and all(r.decoded_sha256 in digests[r.doc_id] for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_dropping(spark):
+    with common.dropping(spark):
+        kept = common.cut(spark.range(5).toDF("x"))
+        assert kept.count() == 5
+        path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+    assert common._FOLDERS == []
