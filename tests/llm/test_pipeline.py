@@ -103,3 +103,16 @@ def test_dropping(spark):
         assert os.path.isdir(path)
     assert not os.path.exists(path)
     assert common._FOLDERS == []
+
+
+def test_every_stage_begins_with_heaps_given_back(spark, monkeypatch):
+    """A stage of itself, without its operator, collects what the steps before left in the executors' heaps."""
+    for module, name in ((corpus_pipeline.quality, "keep_good"), (corpus_pipeline.jaccard, "keep_one"), (secret_scan, "redact"), (mixing, "take"), (bpe, "encode_documents")):
+        monkeypatch.setattr(module, name, lambda docs, *_, **__: docs)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, SF)
+        assert whole() > before, name
