@@ -1,9 +1,14 @@
 """Rows that steps make where many rows share a name: they follow the input, not its square."""
 
+import os
+import shutil
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wefthread.operators import resolve
+from wefthread.plans import catalog
 
 N = 300
 
@@ -62,3 +67,32 @@ def test_callers_of_a_name_that_many_bear(spark, symbols):
     assert most_rows(spark, df) <= 10 * N
     want = {i: ("m1" if i % 3 == 0 else "m0") if i % 4 else "c0" for i in range(N) if i % 4 or i % 3 == 1}
     assert {r.call_id: r.source_uid for r in df.collect()} == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def thrice(tmp_path_factory):
+    """The tables with the rows of keyed ones three times, under other keys."""
+    to, con = tmp_path_factory.mktemp("thrice"), duckdb.connect()
+    tables = {"customer": ["custkey"], "supplier": ["suppkey"], "part": ["partkey"], "lineitem": ["orderkey", "partkey", "suppkey"]}
+    for file in os.listdir(SF):
+        keys = tables.get(file[:-8])
+        if keys is None:
+            shutil.copy(f"{SF}/{file}", to)
+        else:
+            moved = ", ".join(f"{file[0]}_{k} + 2000 * n AS {file[0]}_{k}" for k in keys)
+            con.execute(f"copy (select * replace ({moved}) from '{SF}/{file}', range(3) r(n)) to '{to}/{file}' (format parquet)".replace("select *", "select * exclude (n)"))
+    return str(to)
+
+
+@pytest.mark.parametrize("name", ["context_candidates"])
+def test_query_matches_oracle_where_names_repeat(spark, thrice, name):
+    con = duckdb.connect()
+    for file in os.listdir(thrice):
+        con.execute(f"create view {file[:-8]} as select * from '{thrice}/{file}'")
+    df = catalog.queries()[name](spark, thrice)
+    columns = sorted(df.columns)
+    got = sorted(str(tuple(r)) for r in df.select(*columns).collect())
+    assert got == sorted(map(str, con.execute(f"select {', '.join(columns)} from ({catalog.oracle_sql()[name]}) x").fetchall()))

@@ -83,7 +83,7 @@ class Graph:
     def resolve(self, name: str | None = None, uid: str | None = None, file: str | None = None, id: int | None = None) -> dict:
         """The one symbol meant: by id, else uid, else name and file, else name."""
         if id is not None or uid is not None:
-            rows = self.symbols.where(F.col("id") == id if id is not None else F.col("uid") == uid).select(*FIELDS).limit(2).collect()
+            rows = self.symbols.where(F.col("id") == id if id is not None else F.col("uid") == uid).orderBy("id").select(*FIELDS).limit(1).collect()
             if not rows:
                 raise NotFound(f"No symbol found with uid '{uid}'" if id is None else f"No symbol found with id {id}")
             return rows[0].asDict()
@@ -121,6 +121,12 @@ class Graph:
         side = lambda d: [{k: v for k, v in r.asDict().items() if k != "direction"} for r in rows if r.direction == d]
         return {"status": "found", "symbol": found, "incoming": side("incoming"), "outgoing": side("outgoing")}
 
+    def around(self, ids: DataFrame) -> DataFrame:
+        """(id, incoming, outgoing): how many edges to known symbols ``context`` has on either side of each of ids(id), in one pass for all."""
+        near = traverse.context(self.edges, ids).join(self.symbols.select(F.col("id").alias("other_id")), "other_id")
+        count = near.groupBy("id").agg(*[F.count_if(F.col("direction") == d).alias(d) for d in ("incoming", "outgoing")])
+        return ids.join(count, "id", "left").select("id", F.coalesce("incoming", F.lit(0)).alias("incoming"), F.coalesce("outgoing", F.lit(0)).alias("outgoing"))
+
     # --- traversal
 
     def _impacts(self, starts: list[dict], direction: str, depth: int, min_confidence: float, calls_only: bool) -> list[dict]:
