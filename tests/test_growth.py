@@ -7,13 +7,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wefthread.operators import resolve
-from wefthread.plans import catalog
+from wefthread.operators import resolve, search
+from wefthread.plans import catalog, driver_views
 
 N = 300
 
 
-def most_rows(spark, df):
+def most_rows(spark, df, metric="numOutputRows"):
     """The most rows that an operator of the plan gave."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -22,9 +22,9 @@ def most_rows(spark, df):
         todo, most = [df._jdf.queryExecution().executedPlan()], 0
         while todo:
             plan = todo.pop()
-            metric = plan.metrics().get("numOutputRows")
-            if metric.isDefined():
-                most = max(most, metric.get().value())
+            found = plan.metrics().get(metric)
+            if found.isDefined():
+                most = max(most, found.get().value())
             children = plan.children()
             todo += [children.apply(i) for i in range(children.size())]
         return most
@@ -69,6 +69,22 @@ def test_callers_of_a_name_that_many_bear(spark, symbols):
     assert {r.call_id: r.source_uid for r in df.collect()} == want
 
 
+def test_places_of_words_are_not_dealt(spark):
+    docs = spark.range(20).select("id", F.repeat(F.lit("one two "), 30).alias("a"), F.when(F.col("id") > 3, "two").alias("b"))
+    df = search.postings(docs, "id", ["a", "b"], 3)
+    assert most_rows(spark, df, "shuffleRecordsWritten") == 20
+    rows = {(r.token, r.id, r.column): r.positions for r in df.collect()}
+    assert len(rows) == 56 and rows["two", 5, "a"] == list(range(1, 60, 2)) and rows["two", 5, "b"] == [0]
+
+
+def test_pairs_of_parts_are_counted_in_blocks(spark):
+    lines = spark.range(60).select((F.col("id") % 15).alias("l_orderkey"), (F.col("id") * F.col("id") % 7).alias("l_partkey"))
+    df = driver_views._bought_together(lines, 9)
+    assert df.rdd.getNumPartitions() == 9
+    lines.createOrReplaceTempView("lineitem")
+    assert sorted(df.collect()) == sorted(spark.sql(driver_views._PAIRS).collect())
+
+
 SF = "/root/testdata/sf0.001"
 
 

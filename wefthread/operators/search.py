@@ -145,20 +145,32 @@ class Index:
 
 #: Folders of postings by hash of the token: a query reads those of its words.
 BUCKETS = 64
+#: Characters of text whose postings one task makes, sorts and writes: what a task holds doesn't grow with the table.
+BLOCK = 4 << 20
+
+
+def postings(docs: DataFrame, id_col: str, columns: list[str], blocks: int) -> DataFrame:
+    """(token, id, column, positions): texts are dealt by id, so no place of a word is dealt again."""
+    toks = docs.select(id_col, *columns).repartition(blocks, id_col).select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(c) for c in columns])
+    place = lambda c: lambda t, i: F.struct(F.lit(c).alias("column"), i.alias("at"), t.alias("token"))
+    flat = toks.select("id", F.explode(F.concat(*[F.transform(c, place(c)) for c in columns])).alias("x")).select("x.token", "id", "x.column", "x.at")
+    return flat.groupBy("token", "id", "column").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # no more places than a text has words
 
 
 def write_index(docs: DataFrame, id_col: str, columns: list[str], folder: str) -> None:
-    """Writes the postings of ``docs`` to ``folder``: a row for each token, document and column, sorted by token in each bucket's files."""
+    """Writes the postings of ``docs`` to ``folder``: a row for each token, document and column, sorted by token in each bucket's files.
+
+    Texts are dealt by id, so all places of a token in a document are in one task: they are gathered there, and only postings are dealt by bucket.
+    """
+    size = docs.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long"))).first()[0] or 0
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BLOCK + 1)
     toks = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(c) for c in columns])
     toks.select("id", sum((F.size(c) for c in columns), F.lit(0)).alias("d")).write.parquet(f"{folder}/lengths")
-    each = [toks.select("id", F.lit(c).alias("column"), F.posexplode(c).alias("at", "token")) for c in columns]
-    flat = each[0]
-    for more in each[1:]:
-        flat = flat.union(more)
-    posted = flat.groupBy("token", "id", "column").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # no more places than a text has words
+    posted = postings(docs, id_col, columns, blocks)
     posted = posted.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
     # a frequent token's rows spread over tasks: the bucket alone would be one key
-    posted.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    spread = max(8, 2 * blocks // BUCKETS)
+    posted.repartition(blocks, F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def read_index(spark, folder: str, id_type: str, columns: list[str]) -> Index:
