@@ -69,6 +69,14 @@ def test_callers_of_a_name_that_many_bear(spark, symbols):
     assert {r.call_id: r.source_uid for r in df.collect()} == want
 
 
+def test_calls_meet_the_symbols_of_their_first_strategy_only(spark, symbols):
+    one = symbols.where("ord = 0").withColumn("uid", F.lit("mine")).withColumn("parent_name", F.lit("Own"))
+    calls = spark.range(N).select(F.col("id").alias("call_id"), F.when(F.col("id") % 3 == 2, "gone").otherwise("run").alias("callee"), F.lit("this").alias("receiver"), F.lit("Own").alias("caller_parent"), F.lit("a.rb").alias("file_path"))
+    df = resolve.resolve_calls(calls, symbols.union(one), spark.createDataFrame([], "file_path string, target_path string"))
+    assert most_rows(spark, df) <= 10 * N  # every symbol has the file and the name of most calls
+    assert {r.call_id: (r.target_uid, r.prio) for r in df.collect()} == {i: ("mine", 2) if i % 3 < 2 else ("External:<external>:gone:0", 9) for i in range(N)}
+
+
 def test_types_with_the_same_methods_meet_interfaces_once(spark):
     methods = spark.range(10 * N).select((F.col("id") % N).alias("type_name"), (F.col("id") / N).cast("int").alias("method"), F.lit(None).cast("int").alias("arity")).where("type_name > 0 or method < 5")
     wanted = spark.range(80).select((F.col("id") % 8).alias("interface"), (F.col("id") / 8).cast("int").alias("method"), F.lit(1).alias("arity")).where("interface < 2 and (interface = 0 or method < 4) or method = 11")
